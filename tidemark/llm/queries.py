@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, token_counts, url_filter
+from . import line_dedup, minhash, packing, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,9 +70,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 
+def op9_near_duplicates(spark, sf_dir):
+    return minhash.link_groups(table(spark, sf_dir, "documents"), k=4)
+
+
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op7_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op7_url_filter, op9_near_duplicates, op10_token_counts)}
 SQL = {"op3_line_dedup": OP3_SQL, "op7_url_filter": OP7_SQL}
