@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash, packing, token_counts, url_filter
+from . import ann, decontaminate, line_dedup, minhash, packing, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ URL_RULES = [
 ]
 
 
+def op1_hash_prefix_forest(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,6 +57,10 @@ FROM kept
 """
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -78,5 +86,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op7_url_filter, op9_near_duplicates, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_best_fit_packing, op3_line_dedup, op4_decontamination, op7_url_filter, op9_near_duplicates, op10_token_counts)}
 SQL = {"op3_line_dedup": OP3_SQL, "op7_url_filter": OP7_SQL}
