@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, line_dedup, minhash, packing, token_counts, url_filter
+from . import ann, decontaminate, html_text, line_dedup, minhash, packing, quality, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op4_decontamination(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -78,6 +82,11 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_near_duplicates(spark, sf_dir):
     return minhash.link_groups(table(spark, sf_dir, "documents"), k=4)
 
@@ -86,5 +95,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_best_fit_packing, op3_line_dedup, op4_decontamination, op7_url_filter, op9_near_duplicates, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_best_fit_packing, op3_line_dedup, op4_decontamination, op5_html_extraction, op7_url_filter, op8_quality, op9_near_duplicates, op10_token_counts)}
 SQL = {"op3_line_dedup": OP3_SQL, "op7_url_filter": OP7_SQL}
