@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, html_text, line_dedup, minhash, packing, quality, token_counts, url_filter
+from . import ann, decontaminate, html_text, line_dedup, minhash, packing, quality, suffix, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op5_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -95,5 +99,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_best_fit_packing, op3_line_dedup, op4_decontamination, op5_html_extraction, op7_url_filter, op8_quality, op9_near_duplicates, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_best_fit_packing, op3_line_dedup, op4_decontamination, op5_html_extraction, op6_suffix_array_dedup, op7_url_filter, op8_quality, op9_near_duplicates, op10_token_counts)}
 SQL = {"op3_line_dedup": OP3_SQL, "op7_url_filter": OP7_SQL}

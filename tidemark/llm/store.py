@@ -47,3 +47,11 @@ def size_of(table: DataFrame) -> int:
     spark = table.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(table._tidemark_path)
     return int(target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength())
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, whose frames must be out of use."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
