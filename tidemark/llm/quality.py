@@ -103,8 +103,9 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, epochs: int = 8, rate: float = 0.15, decay: float = 1e-5, seed: int = 3) -> Machine:
-    """Logistic loss, AdaGrad over small batches; without rows of both labels, their share."""
+def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.15, decay: float = 1e-5, seed: int = 3) -> Machine:
+    """Logistic loss, AdaGrad over small batches, ``steps`` of them whatever the number of rows;
+    without rows of both labels, their share."""
     cuts = np.zeros((STATS, BINS))
     for s in range(STATS):
         known = stats[~np.isnan(stats[:, s]), s]
@@ -116,25 +117,23 @@ def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, epochs
     if len(np.unique(labels)) < 2:
         return m
     gw, gv, gb = np.full(FEATURES, 1e-2), np.full(FEATURES, 1e-2), 1e-2
-    for _ in range(epochs):
-        order = rng.permutation(len(labels))
-        for at in range(0, len(order), 256):
-            own = order[at : at + 256]
-            index, value, starts = m.rows([buckets[i] for i in own], stats[own])
-            z, vx, total = m.logits(index, value, starts)
-            error = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels[own]
-            row = np.repeat(np.arange(len(own)), np.diff(np.append(starts, len(index))))
-            dw = error[row] * value
-            dv = dw[:, None] * (total[row] - vx)
-            used, back = np.unique(index, return_inverse=True)
-            sw = np.bincount(back, dw) / len(own) + decay * m.weight[used]
-            sv = np.stack([np.bincount(back, dv[:, f]) for f in range(FACTORS)], axis=1) / len(own) + decay * m.factor[used]
-            gw[used] += sw**2
-            gv[used] += (sv**2).mean(axis=1)
-            m.weight[used] -= rate * sw / np.sqrt(gw[used])
-            m.factor[used] -= 0.3 * rate * sv / np.sqrt(gv[used])[:, None]
-            gb += error.mean() ** 2
-            m.bias -= rate * error.mean() / np.sqrt(gb)
+    order = np.concatenate([rng.permutation(len(labels)) for _ in range(-(-steps * batch // len(labels)))])
+    for own in order[: steps * batch].reshape(steps, batch):
+        index, value, starts = m.rows([buckets[i] for i in own], stats[own])
+        z, vx, total = m.logits(index, value, starts)
+        error = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels[own]
+        row = np.repeat(np.arange(len(own)), np.diff(np.append(starts, len(index))))
+        dw = error[row] * value
+        dv = dw[:, None] * (total[row] - vx)
+        used, back = np.unique(index, return_inverse=True)
+        sw = np.bincount(back, dw) / len(own) + decay * m.weight[used]
+        sv = np.stack([np.bincount(back, dv[:, f]) for f in range(FACTORS)], axis=1) / len(own) + decay * m.factor[used]
+        gw[used] += sw**2
+        gv[used] += (sv**2).mean(axis=1)
+        m.weight[used] -= rate * sw / np.sqrt(gw[used])
+        m.factor[used] -= 0.3 * rate * sv / np.sqrt(gv[used])[:, None]
+        gb += error.mean() ** 2
+        m.bias -= rate * error.mean() / np.sqrt(gb)
     return m
 
 
