@@ -103,7 +103,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.15, decay: float = 1e-5, seed: int = 3) -> Machine:
+def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.5, decay: float = 1e-5, seed: int = 3) -> Machine:
     """Logistic loss, AdaGrad over small batches, ``steps`` of them whatever the number of rows;
     without rows of both labels, their share."""
     cuts = np.zeros((STATS, BINS))
