@@ -1,0 +1,8 @@
+"""Registered queries and their SQL, by theme."""
+
+from . import graph_queries, relational_queries
+
+QUERIES, SQL = {}, {}
+for _module in (graph_queries, relational_queries):
+    QUERIES |= _module.catalog.queries
+    SQL |= _module.catalog.sql
