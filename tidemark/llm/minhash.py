@@ -28,7 +28,7 @@ from .url_filter import Bloom, fill
 CHUNKS, WIDTH = 10, 5
 SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = 2 * CHUNKS - 1
-BLOCK = 512
+BLOCK = 2048
 MAX_FILTER_ROWS = 10_000_000
 _OWN = "doc_id long, n_shingles long, digest binary, sig binary"
 _SETS = "rep long, digest binary, grams binary"
