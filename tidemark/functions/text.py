@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Suffixes of company names that a name's key leaves out.
@@ -181,8 +182,6 @@ def jaro_winkler(a: str, b: str) -> float:
 
 def jaro_winkler_column(a: Column, b: Column) -> Column:
     """Vectorised over Arrow batches; for pairs that an equality has met before."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else jaro_winkler(p, q) for p, q in zip(x, y)], dtype="float64")

@@ -31,10 +31,11 @@ def mentions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, folder: str) -> DataFrame:
-    """(ticker, date, close, adj_close, volume): brands by day."""
+    """(ticker, date, close, adj_close, volume): brands by day, at their mean price a unit."""
     part = load(spark, folder, "part").select("p_partkey", "p_brand")
     joined = load(spark, folder, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    close = F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4)
+    # whole cents and units, so that the order of the rows can't tell
+    close = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.sum(F.col("l_quantity").cast("long")) / 100
     out = joined.groupBy(F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(close.alias("close"), F.sum("l_quantity").alias("volume"))
     return out.select("ticker", "date", "close", F.col("close").alias("adj_close"), "volume")
 
@@ -61,7 +62,7 @@ VIEWS = {
                'supplier' AS src_kind, 'brand' AS dst_kind FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "men": "SELECT DISTINCT l_orderkey AS doc_id, l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS dt FROM lineitem",
     "px": """SELECT ticker, date, close, close AS adj_close, volume FROM (
-               SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice / l_quantity), 4) AS close, sum(l_quantity) AS volume
+               SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / 100 AS close, sum(l_quantity) AS volume
                FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)""",
     "news": """SELECT doc_id, text AS body, source, lang, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'http://www.' || source || '.example/' || (doc_id % 500) END AS url,
                'T' || (doc_id % 13) AS symbol, CAST(DATE '2019-12-20' + CAST(doc_id % 40 AS INT) AS DATE) AS published FROM documents""",
