@@ -31,7 +31,8 @@ LENGTH = 200
 GRAM = 32
 SHARD_CONTEXTS = 5_000
 MAX_FILTER_ROWS = 10_000_000
-SEGMENT = 8_000_000
+SEGMENT = 1_000_000
+CHUNK = 400_000
 _POSITION = B.U((1 << 24) - 1)
 
 
@@ -182,7 +183,7 @@ def _find_runs(length: int):
         for b in batches:
             rows = b.column(0).to_numpy()
             data, offs = B.utf8(b.column(1))
-            for i, j in B.spans(offs):
+            for i, j in B.spans(offs, CHUNK):
                 lo, hi = offs[i], offs[j]
                 if hi - lo <= SEGMENT:
                     yield one(data[lo:hi], offs[i : j + 1] - lo, rows[i:j])
