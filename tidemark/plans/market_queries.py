@@ -36,9 +36,9 @@ def trading_calendar(spark, d):
     return M.trading_calendar(prices(spark, d))
 
 
-@catalog.add(sql("px", "SELECT ticker, date, cal_i, round(close, 6) AS close, round(ret_raw, 6) AS ret_raw, round(ret, 6) AS ret, flag FROM daily", **_CHAIN))
+@catalog.add(sql("px", "SELECT ticker, date, cal_i, round(close, 9) AS close, round(ret_raw, 6) AS ret_raw, round(ret, 6) AS ret, flag FROM daily", **_CHAIN))
 def price_flags(spark, d):
-    return _r(_panel(spark, d)[1].select("ticker", "date", "cal_i", "close", "ret_raw", "ret", "flag"), "close", "ret_raw", "ret")
+    return _r(_r(_panel(spark, d)[1].select("ticker", "date", "cal_i", "close", "ret_raw", "ret", "flag"), "ret_raw", "ret"), "close", n=9)
 
 
 @catalog.add(sql("px", "SELECT ticker, date, round(ret, 6) AS ret FROM daily WHERE ret IS NOT NULL", **_CHAIN))
@@ -160,16 +160,16 @@ def rolling_vol(spark, d):
     return _returns(spark, d).select("ticker", "date", F.when(F.count("ret").over(w) == 21, F.round(F.stddev_samp("ret").over(w), 6)).alias("vol"))
 
 
-@catalog.add(sql("px", "SELECT ticker, date, round(close, 6) AS close, round(med, 6) AS med FROM (SELECT ticker, date, close, quantile_cont(close, 0.5) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS med FROM px)"))
+@catalog.add(sql("px", "SELECT ticker, date, round(close, 9) AS close, round(med, 9) AS med FROM (SELECT ticker, date, close, quantile_cont(close, 0.5) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS med FROM px)"))
 def moving_median(spark, d):
     w = W.partitionBy("ticker").orderBy("date").rowsBetween(-15, 15)
-    return prices(spark, d).select("ticker", "date", F.round("close", 6).alias("close"), F.round(F.percentile("close", F.lit(0.5)).over(w), 6).alias("med"))
+    return prices(spark, d).select("ticker", "date", F.round("close", 9).alias("close"), F.round(F.percentile("close", F.lit(0.5)).over(w), 9).alias("med"))
 
 
-@catalog.add(sql("px", "SELECT ticker, date, round(lag(close) OVER w, 4) AS before, round(lead(close) OVER w, 4) AS after, row_number() OVER w AS k FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)"))
+@catalog.add(sql("px", "SELECT ticker, date, round(lag(close) OVER w, 9) AS before, round(lead(close) OVER w, 9) AS after, row_number() OVER w AS k FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)"))
 def lag_lead_flags(spark, d):
     w = W.partitionBy("ticker").orderBy("date")
-    return prices(spark, d).select("ticker", "date", F.round(F.lag("close").over(w), 4).alias("before"), F.round(F.lead("close").over(w), 4).alias("after"), F.row_number().over(w).alias("k"))
+    return prices(spark, d).select("ticker", "date", F.round(F.lag("close").over(w), 9).alias("before"), F.round(F.lead("close").over(w), 9).alias("after"), F.row_number().over(w).alias("k"))
 
 
 _SMALL = "SELECT ticker, date, ret / 100 AS ret FROM ret"
@@ -181,9 +181,9 @@ def _small(spark, d):
     return _returns(spark, d).withColumn("ret", F.col("ret") / 100)
 
 
-@catalog.add(sql("px", "SELECT ticker, date, round(nav, 6) AS nav, round(dd, 6) AS drawdown FROM dd", ret=_RET, small=_SMALL, nav=_NAV, dd=_DD))
+@catalog.add(sql("px", "SELECT ticker, date, round(ln(nav), 6) AS log_nav, round(dd, 6) AS drawdown FROM dd", ret=_RET, small=_SMALL, nav=_NAV, dd=_DD))
 def drawdown(spark, d):
-    return _r(M.drawdowns(_small(spark, d)).select("ticker", "date", "nav", "drawdown"), "nav", "drawdown")
+    return _r(M.drawdowns(_small(spark, d)).select("ticker", "date", F.log("nav").alias("log_nav"), "drawdown"), "log_nav", "drawdown")
 
 
 @catalog.add(sql("px", """SELECT ticker, count(*) AS n, round(exp(sum(ln(1 + ret)) * 252.0 / count(*)) - 1, 6) AS growth, round(stddev_samp(ret) * sqrt(252.0), 6) AS vol, round(avg(ret) / stddev_samp(ret) * sqrt(252.0), 5) AS sharpe,
