@@ -5,17 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+KEY = "spark.checkpoint.dir"
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one where none is set."""
+    found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set(KEY, found)
+    return found.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; a temporary folder where none is set."""
+    """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
-    key = "spark.checkpoint.dir"
-    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set(key, folder)
-    path = f"{folder.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
