@@ -29,7 +29,7 @@ from .url_filter import Bloom, fill
 
 LENGTH = 200
 GRAM = 32
-SHARD_CONTEXTS = 5_000
+SHARD_CONTEXTS = 2_500
 MAX_FILTER_ROWS = 10_000_000
 SEGMENT = 1_000_000
 CHUNK = 400_000
@@ -213,8 +213,10 @@ def _contexts(length: int):
             owner = np.repeat(offs[:-1], np.diff(wanted.offsets.to_numpy()))
             cols = [flat.field(n) for n in names]
             start, stop = cols[1].to_numpy(), cols[2].to_numpy()
-            own = [raw[o + s : o + e + length - 1] for o, s, e in zip(owner.tolist(), start.tolist(), stop.tolist())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(own, pa.binary())], [*names, "bytes"])
+            for i in range(0, len(flat), 10_000):  # contexts are longer than runs, so in slices
+                part = slice(i, i + 10_000)
+                own = [raw[o + s : o + e + length - 1] for o, s, e in zip(owner[part].tolist(), start[part].tolist(), stop[part].tolist())]
+                yield pa.RecordBatch.from_arrays([*(c[part] for c in cols), pa.array(own, pa.binary())], [*names, "bytes"])
 
     return run
 
