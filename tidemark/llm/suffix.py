@@ -39,8 +39,8 @@ _POSITION = B.U((1 << 24) - 1)
 # --- suffix arrays ----------------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank) of symbols 1..256 with 0 between strings; each 0 differs from others.
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, rank, next seven symbols or 0) of symbols 1..256 with 0 between strings; each 0 differs from others.
 
     Suffixes are first sorted by seven symbols. Then groups of equal rank are refined by the rank
     of what follows their sorted part, which doubles it; groups of one are left alone.
@@ -54,21 +54,22 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = wide[j : j + n]
         ends |= own == 0
         key = (key << B.U(9)) | np.where(ends, B.U(0), own)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key).astype(np.int32)
+    tied = np.flatnonzero(ends[sa])  # equal up to their 0: by position, as their 0s differ so
+    sa[tied] = sa[tied][np.lexsort((sa[tied], key[sa[tied]]))]
     new = np.ones(n, bool)
     new[1:] = (key[sa][1:] != key[sa][:-1]) | ends[sa][1:] | ends[sa][:-1]
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     h = 7
     while True:
         last = np.append(new[1:], True)
         slots = np.flatnonzero(~(new & last))  # of groups of more than one
         if not len(slots):
-            return sa, rank
+            return sa, rank, np.where(ends, B.U(0), key)
         own = sa[slots]
         group, follow = rank[own], rank[own + h]
-        order = np.argsort(follow, kind="stable")
-        order = order[np.argsort(group[order], kind="stable")]
+        order = np.argsort(group.astype(np.int64) * n + follow)
         own, group, follow = own[order], group[order], follow[order]
         sa[slots] = own
         fresh = np.ones(len(slots), bool)
@@ -78,27 +79,37 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h *= 2
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, seven: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each suffix, the symbols it shares with the one before it in the suffix array.
 
     Kasai's walk: from one position of a string to the next the number falls by one at most. All
     strings take a step together.
     """
-    out = np.zeros(len(text), np.int64)
+    out = np.zeros(len(text), np.int32)
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
-    h = np.zeros(len(starts), np.int64)
+    depth = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), side="left")  # strings longer than a step
+    starts, h = starts.astype(np.int32), np.zeros(len(starts), np.int32)
     for step in range(int(sizes.max(initial=0))):
-        n = int(np.searchsorted(-sizes, -step, side="left"))  # strings longer than ``step``
+        n = int(depth[step])
         i = starts[:n] + step
         r = rank[i]
         j = sa[np.maximum(r - 1, 0)]
         live = np.flatnonzero(r > 0)
         h[:n][r == 0] = 0
+        fine = []
+        while len(live):  # by seven symbols, then by one
+            a, b = i[live] + h[live], j[live] + h[live]
+            x = seven[a]
+            same = (x == seven[b]) & (x > 0)
+            fine.append(live[~same])
+            live = live[same]
+            h[live] += 7
+        live = np.concatenate(fine) if fine else live
         while len(live):
             a, b = i[live] + h[live], j[live] + h[live]
             x = text[a]
-            live = live[(x == text[b]) & (x > 0) & (a != b)]
+            live = live[(x == text[b]) & (x > 0)]
             h[live] += 1
         out[i] = h[:n]
         h[:n] = np.maximum(h[:n] - 1, 0)
@@ -117,8 +128,8 @@ def repeats(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
         text[s : s + len(c)] = np.frombuffer(c, np.uint8)
     text += 1
     text[starts + sizes] = 0
-    sa, rank = suffix_array(text)
-    shared = common_prefixes(text, sa, rank, starts, sizes)
+    sa, rank, seven = suffix_array(text)
+    shared = common_prefixes(text, sa, rank, seven, starts, sizes)
     with_before = shared[sa] >= length
     with_next = np.append(with_before[1:], False)
     repeated, leader = np.zeros(len(text), bool), np.zeros(len(text), bool)
