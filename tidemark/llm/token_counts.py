@@ -43,11 +43,17 @@ def _counter(path: str):
 
 
 def encode_counts(path: str):
-    """mapInArrow function: (digest, text) to (digest, n_tokens)."""
+    """mapInArrow function: (digest, text) to (digest, n_tokens), each digest once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
+        seen: set[bytes] = set()  # repeated rows meet in one task
         for b in batches:
+            fresh = []
+            for d in b.column(0).to_pylist():
+                fresh.append(d not in seen)
+                seen.add(d)
+            b = b.filter(pa.array(fresh, pa.bool_()))
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(count(texts), pa.int64())], ["digest", "n_tokens"])
 
