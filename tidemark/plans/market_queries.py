@@ -229,7 +229,7 @@ def cmh(spark, d):
     return _r(I.cochran_mantel_haenszel(rows, "lang", "quality", "toxic"), "statistic", "odds_ratio", n=5)
 
 
-@catalog.add(sql("px", "SELECT count(*) AS n_dates, round(avg(s), 6) AS mean, round(avg(s) / (stddev_samp(s) / sqrt(count(*))), 5) AS t FROM (SELECT date, regr_slope(ret, z) AS s FROM (SELECT date, ret, CASE WHEN stddev_pop(x) OVER w > 0 THEN (x - avg(x) OVER w) / stddev_pop(x) OVER w ELSE 0 END AS z FROM p WINDOW w AS (PARTITION BY date)) GROUP BY 1) WHERE s IS NOT NULL", ret=_RET, p="SELECT r.ticker, r.date, ret, ln(volume) AS x FROM ret r JOIN px ON r.ticker = px.ticker AND r.date = px.date"))
+@catalog.add(sql("px", "SELECT count(*) AS n_dates, round(avg(s), 6) AS mean, round(avg(s) / (stddev_samp(s) / sqrt(count(*))), 5) AS t FROM (SELECT date, regr_slope(ret, z) AS s FROM (SELECT date, ret, CASE WHEN stddev_pop(x) OVER w > 0 THEN (x - avg(x) OVER w) / stddev_pop(x) OVER w ELSE 0 END AS z FROM p WINDOW w AS (PARTITION BY date)) GROUP BY 1) WHERE s IS NOT NULL AND NOT isnan(s)", ret=_RET, p="SELECT r.ticker, r.date, ret, ln(volume) AS x FROM ret r JOIN px ON r.ticker = px.ticker AND r.date = px.date"))
 def fama_macbeth_univariate(spark, d):
     px = prices(spark, d).select("ticker", "date", F.log("volume").alias("x"))
     return _r(_r(I.fama_macbeth(_returns(spark, d).join(px, ["ticker", "date"]), "date", "ret", "x"), "mean"), "t", n=5)
