@@ -28,6 +28,8 @@ from .url_filter import Bloom, fill
 CHUNKS, WIDTH = 10, 5
 SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = 2 * CHUNKS - 1
+#: Pairs that met are confirmed up to this distance, which a pair of similarity 0.8 passes five standard deviations out.
+CONFIRM_DISTANCE = 24
 BLOCK = 2048
 MAX_FILTER_ROWS = 10_000_000
 _OWN = "doc_id long, n_shingles long, digest binary, sig binary"
@@ -105,11 +107,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sig_a, sig_b) to the (a, b) within MAX_DISTANCE."""
+    """(a, b, sig_a, sig_b) to the (a, b) within CONFIRM_DISTANCE."""
     for b in batches:
         if b.num_rows:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
-            keep = pa.array((x != y).sum(axis=1) <= MAX_DISTANCE)
+            keep = pa.array((x != y).sum(axis=1) <= CONFIRM_DISTANCE)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
 
