@@ -332,6 +332,51 @@ def test_leaks(spark, edge, empty):
     assert decontaminate.drop_leaks(edge, bench.limit(0)).count() == len(EDGE)
 
 
+def brute_overlap(same):
+    """(matched, -length, -start) of the best stretch at least four fifths equal."""
+    n = len(same)
+    found = [(sum(same[i:j]), i - j, -i) for i in range(n) for j in range(i + 1, n + 1) if 5 * sum(same[i:j]) >= 4 * (j - i)]
+    return max(found, default=(0, 0, 0))
+
+
+def test_overlap_is_the_best_stretch():
+    rng = random.Random(21)
+    for k in range(150):
+        own = [f"q{i}" for i in range(rng.randint(13, 50))]
+        rate = (0.1, 0.15, 0.2, 0.3)[k % 4]
+        same = [rng.random() >= rate for _ in own]
+        block = decontaminate.Items([1], [" ".join(own)])
+        (_, words, _), = decontaminate.text_words(decontaminate.pa.array([" ".join(w if s else "other" for w, s in zip(own, same))]))
+        m, n, at = brute_overlap(same)
+        got = block.overlap(words, 0, 0)
+        assert got[:2] == (m, -n) and (not m or got[2] == -at)
+
+
+def test_leaks_over_substitutions(spark):
+    own = [f"q{i}" for i in range(48)]
+    shapes = ["1" * 10 + "000" + "1" * 10, "1111111100" * 4 + "1" * 8, "1" * 8 + "000" + "1" * 8, "1" * 12]
+    bench = spark.createDataFrame([(i, " ".join(f"{i}{w}" for w in own[: len(s)])) for i, s in enumerate(shapes)], "item_id long, text string")
+    docs = [(i, "before " + " ".join(f"{i}{w}" if c == "1" else "other" for w, c in zip(own, s)) + " after") for i, s in enumerate(shapes)]
+    rng = random.Random(22)
+    df = spark.createDataFrame(docs, DOCS)
+    got = {r.item_id: (r.n_matched, r.n_overlap, r.doc_start) for r in decontaminate.find_leaks(df, bench).collect()}
+    assert got == {0: (20, 23, 1), 1: (40, 48, 1), 2: (16, 19, 1), 3: (12, 12, 1)}
+    assert decontaminate.drop_leaks(df, bench).count() == 0
+    lost = 0
+    for rate in (0.15, 0.2):
+        items, texts = [], []
+        for i in range(200):
+            words = [f"r{rng.randrange(10**9)}" for _ in range(40)]
+            same = [rng.random() >= rate for _ in words]
+            items.append((i, " ".join(words)))
+            texts.append((i, " ".join(w if s else "other" for w, s in zip(words, same)), brute_overlap(same)[0] >= 13))
+        found = decontaminate.find_leaks(spark.createDataFrame([t[:2] for t in texts], DOCS), spark.createDataFrame(items, "item_id long, text string"))
+        ids = {r.doc_id for r in found.collect()}
+        assert ids <= {t[0] for t in texts if t[2]}
+        lost += len({t[0] for t in texts if t[2]} - ids)
+    assert lost <= 4  # of those that no seed meets
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><a href=/>Home</a></nav><div class="ad">Buy this now, all of it, at once.</div>
 <article><h1>Big &amp; small</h1><p>First   text\nof the page, with <b>bold</b> words and more of them to be read.<p>Second &lt;one&gt;&nbsp;here.<br></article><div id=comments><p>A comment by a reader who has much to say.</p></div><footer>&copy; us</footer></body></html>"""
 

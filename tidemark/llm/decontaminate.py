@@ -13,6 +13,7 @@ larger benchmark takes as many passes as it has blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ from . import buffers as B
 MASKS = ("1101011001", "111001011", "1111011")
 MIN_WORDS = 13
 TOLERANCE = 0.8
+#: a stretch matches well enough if these, summed over its words, are not negative
+_SHARE = Fraction(TOLERANCE).limit_denominator(100)
+_EQUAL, _CHANGED = _SHARE.denominator - _SHARE.numerator, -_SHARE.numerator
 BLOCK_WORDS = 1_000_000
 _HITS = "doc_id long, item_id long, n_matched int, n_overlap int, item_words int, doc_start long"
 
@@ -84,18 +88,25 @@ class Items:
     def overlap(self, text: np.ndarray, item: int, start: int) -> tuple[int, int, int]:
         """(matched, length, position in the text) of the best overlap on one diagonal.
 
-        The best overlap is the stretch with most matches over four times its substitutions, so at
-        least four fifths of it match.
+        Of the stretches of which at least ``TOLERANCE`` match, the one with most matches, then the
+        shortest, then the first. A stretch may run over a cluster of substitutions that the
+        words on both sides make up for.
         """
         own = self.words[item]
         a, b = max(0, -start), min(len(own), len(text) - start)
         same = own[a:b] == text[start + a : start + b]
-        score = np.cumsum(np.where(same, 1, -4))
-        before = np.concatenate([[0], score[:-1]])
-        low = np.minimum.accumulate(before)
-        end = int(np.argmax(score - low))
-        first = int(np.argmin(before[: end + 1]))
-        return int(same[first : end + 1].sum()), end + 1 - first, start + a + first
+        count = np.concatenate([[0], np.cumsum(same)])
+        score = np.concatenate([[0], np.cumsum(np.where(same, _EQUAL, _CHANGED))])
+        # for each end the earliest start whose prefix isn't larger: the stretch's sum is 0 at least
+        first = np.searchsorted(-np.minimum.accumulate(score), -score[1:])
+        matched = count[1:] - count[first]
+        m = int(matched.max(initial=0))
+        if not m:
+            return 0, 0, start + a
+        ends = np.flatnonzero(same & (matched == m))
+        at = np.flatnonzero(same)[count[first[ends]]]  # a substitution at its start only lengthens it
+        k = int(np.argmin(ends - at))
+        return m, int(ends[k] + 1 - at[k]), start + a + int(at[k])
 
 
 def _find(items, min_words: int):
