@@ -312,6 +312,27 @@ def test_forest_recall():
     assert np.mean(found) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "skewed", "one long"])
+def test_recall_of_a_full_block(kind):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(ann.BLOCK_ROWS, 64))
+    if kind == "skewed":
+        x *= rng.lognormal(0, 0.7, (len(x), 1))
+    elif kind == "one long":
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x[5] *= 20
+    asked = rng.choice(len(x), 60, replace=False)
+    ids = np.concatenate([np.arange(len(x)), asked])
+    table = ann.pa.table({"vector": [v.tobytes() for v in x] + [x[i].tobytes() for i in asked], "id": ids, "query": np.arange(len(ids)) >= len(x)})
+    out = ann._search(20, ann.CANDIDATES)(table).to_pandas()
+    hits = 0
+    for q in asked:
+        want = [i for i in np.argsort(-(x @ x[q]))[:21] if i != q][:20]
+        found = out[(out.query_id == q) & (out.entry != q)].sort_values("score", ascending=False).entry[:20]
+        hits += len(set(want) & set(found))
+    assert hits >= 0.9 * 20 * len(asked), hits / 20 / len(asked)
+
+
 # --- benchmark, pages, quality ----------------------------------------------------------------
 
 

@@ -6,6 +6,10 @@ trees at once, one bit at a time, until together they hold enough candidates; th
 exactly. Vectors of unequal norm get one more component so that all have the norm of the longest,
 which makes the largest inner product the smallest angle.
 
+How many candidates a block needs depends on its vectors, and is more where norms differ. So each block is first searched for some of its queries,
+whose nearest are also found by brute force, and the number grows until enough of those are met;
+at its largest it takes all rows.
+
 Rows are dealt at random into blocks of bounded size, each with a forest of its own, and the
 stated queries go to every block. Equal vectors are one entry with their smallest ids, as many as
 a result can hold, so a vector that a third of the rows share costs no more than another.
@@ -26,6 +30,9 @@ BITS = 24
 CANDIDATES = 6_000
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
+#: queries of a block that are also answered by brute force, and the share of their nearest to meet
+HELD = 128
+RECALL = 0.95
 
 
 class Forest:
@@ -73,6 +80,24 @@ class Forest:
         return np.flatnonzero(mark)
 
 
+    def enough(self, data: np.ndarray, queries: np.ndarray, k: int, least: int) -> int:
+        """Range entries, ``least`` or more, with which ``queries`` meet RECALL of their ``k`` nearest other vectors."""
+        nearest = []
+        for q in queries:
+            score = data @ q
+            top = np.argpartition(-score, min(k, len(score) - 1))[: k + 1]
+            top = top[np.argsort(-score[top], kind="stable")]
+            nearest.append(top[(data[top] != q).any(axis=1)][:k])
+        n = least
+        while n < self.trees * len(data):
+            lo, hi = self.ranges(queries, n)
+            met = [np.isin(own, self.candidates(lo[i], hi[i])).sum() for i, own in enumerate(nearest)]
+            if sum(met) >= RECALL * sum(map(len, nearest)):
+                break
+            n += -(-n // 2)
+        return n
+
+
 def _valid(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     rows, out = [], []
     for i, v in enumerate(column.to_pylist()):
@@ -138,7 +163,10 @@ def _search(k: int, candidates: int):
             data = np.frombuffer(b"".join(vector[i] for i in x), np.float64).reshape(len(x), -1)
             asked = np.frombuffer(b"".join(vector[i] for i in q), np.float64).reshape(len(q), -1)
             forest = Forest(data) if len(x) > 2 * k else None
-            lo, hi = forest.ranges(asked, candidates) if forest else (None, None)
+            if forest:
+                held = np.random.default_rng(7).permutation(len(q))[:HELD]
+                held = np.argsort(ids[q], kind="stable")[held]
+                lo, hi = forest.ranges(asked, forest.enough(data, asked[held], k, candidates))
             for i in range(len(q)):
                 near = forest.candidates(lo[i], hi[i]) if forest else np.arange(len(x))
                 rough = data[near] @ asked[i]
@@ -156,7 +184,8 @@ def _search(k: int, candidates: int):
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int = CANDIDATES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible
-    by ``every``, itself excluded, by largest inner product, then smallest id.
+    by ``every``, itself excluded, by largest inner product, then smallest id. Each block looks at
+    ``candidates`` range entries or more, as its measured recall needs.
 
     Null, empty and zero vectors and those with null or non-finite components take no part, nor do
     rows without an id. A repeated row (same id and vector) counts once. Vectors are only compared
