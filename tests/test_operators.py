@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import backtest as BT
 from tidemark.functions import text as T
-from tidemark.operators import graph as G, market as M, relational as R
+from tidemark.operators import graph as G, market as M, matrices as MX, relational as R
 from tidemark.sources import readers
 
 EVENTS = [("A", "B", "2020-01-01", 1, "impact", 0.5, 1), ("A", "B", "2020-01-31", 2, "impact", 1.0, -1), ("B", "A", "2020-02-10", 3, "ma", 0.2, 0), ("A", "C", "2020-03-01", 3, "ma", 0.8, 1)]
@@ -100,3 +100,21 @@ def test_readers(spark, tmp_path):
     assert readers.read_log(spark, str(tmp_path / "l.jsonl"), "a int").filter("a is not null").count() == 2
     (tmp_path / "n.csv").write_text('row,published,title\n1,2020-01-01,"two\nlines"\n')
     assert readers.read_news(spark, str(tmp_path / "n.csv"), schema=readers.T.StructType(readers.NEWS.fields[:3])).first().title == "two\nlines"
+
+
+@pytest.mark.parametrize("local, tolerance", [(True, 1e-12), (False, 1e-3)])
+def test_pagerank_converges(spark, monkeypatch, local, tolerance):
+    monkeypatch.setattr(MX, "LOCAL_EDGES", 10**6 if local else 0)
+    both = [(f"s{i}", f"b{i % 3}", 1.0 + i % 4) for i in range(30)]
+    both += [(b, a, w) for a, b, w in both] + [("s0", "sink", 2.0)]
+    nodes = sorted({x for e in both for x in e[:2]})
+    n, p = len(nodes), np.zeros((len(nodes), len(nodes)))
+    for a, b, w in both:
+        p[nodes.index(a), nodes.index(b)] += w
+    total = p.sum(axis=1, keepdims=True)
+    p = np.where(total > 0, p / np.where(total > 0, total, 1), 1 / n)
+    want = np.linalg.solve(np.eye(n) - 0.85 * p.T, np.full(n, 0.15 / n))
+    more = {} if local else {"tolerance": tolerance}
+    got = {r["node"]: r["rank"] for r in MX.pagerank(spark.createDataFrame(both, "src string, dst string, w double"), **more).collect()}
+    # what is left after the last step is at most 0.85 / 0.15 times as large
+    assert sorted(got) == nodes and np.abs(np.array([got[x] for x in nodes]) - want).max() <= 6 * tolerance

@@ -5,6 +5,8 @@ An exposure cell is (node, agent, value): what a node of the universe has to do
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..sources.scratch import materialise
@@ -79,10 +81,36 @@ def signed_log(c):
     return F.signum(c) * F.log1p(F.abs(c))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(node, rank) over edges (src, dst, w) after ``rounds``; each round's ranks are written."""
+#: Edges up to which the rounds of ``pagerank`` run in one task; a round of a larger graph is a job.
+LOCAL_EDGES = 1_000_000
+
+
+def _ranks(damping: float, rounds: int, tolerance: float):
+    """applyInPandas function over all edges (src, dst, p)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["src", "dst", "p"])
+        code, nodes = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]), sort=True)
+        src, dst, p, n = code[: len(pdf)], code[len(pdf) :], pdf["p"].to_numpy(), len(nodes)
+        sink = np.bincount(src, minlength=n) == 0
+        rank = np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            new = (1 - damping) / n + damping * (np.bincount(dst, p * rank[src], n) + rank[sink].sum() / n)
+            change, rank = np.abs(new - rank).max(), new
+            if change < tolerance:
+                break
+        return pd.DataFrame({"node": nodes, "rank": rank})
+
+    return run
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 1000, tolerance: float = 1e-12) -> DataFrame:
+    """(node, rank) over edges (src, dst, w), iterated until no rank changes by ``tolerance`` or
+    for ``rounds``. On more than LOCAL_EDGES edges each round's ranks are written."""
     out = edges.groupBy("src").agg(F.sum("w").alias("total"))
     share = materialise(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "share")
+    if share.count() <= LOCAL_EDGES:
+        return share.groupBy(F.lit(0).alias("g")).applyInPandas(_ranks(damping, rounds, tolerance), f"node {share.schema['src'].dataType.simpleString()}, rank double")
     nodes = materialise(share.select("src").union(share.select("dst")).distinct().toDF("node"), "nodes")
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
@@ -90,5 +118,10 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     for _ in range(rounds):
         flow = share.join(rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("f"))
         lost = F.broadcast(rank.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
-        rank = materialise(nodes.join(flow, nodes["node"] == flow["dst"], "left").crossJoin(lost).select("node", ((1 - damping) / n + damping * (F.coalesce("f", F.lit(0.0)) + F.col("lost") / n)).alias("rank")), "rank")
+        after = ((1 - damping) / n + damping * (F.coalesce("f", F.lit(0.0)) + F.col("lost") / n)).alias("after")
+        step = rank.join(flow, rank["node"] == flow["dst"], "left").crossJoin(lost).select("node", after, F.col("rank").alias("before"))
+        step = materialise(step, "rank")
+        rank = step.select("node", F.col("after").alias("rank"))
+        if step.agg(F.max(F.abs(F.col("after") - F.col("before")))).first()[0] < tolerance:
+            break
     return rank

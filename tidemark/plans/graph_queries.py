@@ -175,7 +175,7 @@ def embedding_cosine(spark, d):
 def pagerank(spark, d):
     edges = G.snapshot(graph_events(spark, d), ASOF, 365).select("src", "dst", F.col("n_events").cast("double").alias("w"))
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return M.pagerank(both, rounds=6)
+    return M.pagerank(both)
 
 
 @catalog.add(sql("ge", f"SELECT p.rel_class, round(sum(sign(x) * ln(1 + abs(x))), 6) AS signed_log FROM (SELECT i, j, rel_class, sum(w) AS x FROM p GROUP BY 1, 2, 3) p GROUP BY 1", p=_PAIR))
