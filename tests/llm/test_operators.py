@@ -201,7 +201,7 @@ def test_near_duplicates(spark, monkeypatch, block):
 
 
 def test_near_duplicates_without_filters(spark, edge, empty, monkeypatch):
-    monkeypatch.setattr(minhash, "MAX_FILTER_ROWS", 0)
+    monkeypatch.setattr(url_filter, "SENT_BYTES", 8)
     got = minhash.link_groups(edge, k=4).collect()
     assert len(got) == len(EDGE) and {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
     assert minhash.keep_one(edge).columns == edge.columns and minhash.keep_one(edge).filter("doc_id = 5").count() == 0
@@ -242,10 +242,11 @@ def brute_removed(rows, n):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("shard,filters", [(5000, 10**7), (7, 0)])
+@pytest.mark.parametrize("shard,filters", [(5000, 10**7), (7, 8)])
 def test_repeats(spark, monkeypatch, shard, filters):
     monkeypatch.setattr(suffix, "SHARD_CONTEXTS", shard)
-    monkeypatch.setattr(suffix, "MAX_FILTER_ROWS", filters)
+    monkeypatch.setattr(suffix, "MERGE_STRINGS", 10 * shard)
+    monkeypatch.setattr(url_filter, "SENT_BYTES", filters)
     rng = random.Random(7)
     base = "".join(rng.choice("abcdefgh ") for _ in range(330))
     fill = lambda: "".join(rng.choice("xyzuv ") for _ in range(rng.randint(0, 150)))

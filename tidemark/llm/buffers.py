@@ -6,11 +6,14 @@ of bounded size (``spans``), so that memory follows the longest text, not the ba
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2_000_000
+CHUNK = 256_000
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -54,8 +57,24 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD)
 
 
+@lru_cache(maxsize=1)
+def lean() -> None:
+    """Make this worker hand memory back: one heap, large arrays mapped on their own, and Arrow on that heap too.
+
+    Workers outlive their tasks, and what their allocators keep counts against the executor.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        for option, value in ((-8, 1), (-3, 4 << 20), (-1, 8 << 20)):  # arenas, size mapped apart, top kept
+            libc.mallopt(option, value)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
+    lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")

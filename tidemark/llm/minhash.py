@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import buffers as B, store
+from . import buffers as B, store, url_filter
 from .components import components
 from .url_filter import Bloom, fill
 
@@ -31,8 +31,7 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 #: Pairs that met are confirmed up to this distance, which a pair of similarity 0.8 passes five standard deviations out.
 CONFIRM_DISTANCE = 24
 BLOCK = 2048
-MAX_FILTER_ROWS = 10_000_000
-_OWN = "doc_id long, n_shingles long, digest binary, sig binary"
+_OWN = "doc_id long, words long, n_shingles long, digest binary, sig binary"
 _SETS = "rep long, digest binary, grams binary"
 
 
@@ -81,7 +80,7 @@ def _texts(b: pa.RecordBatch, k: int):
 
 
 def describe(k: int):
-    """mapInArrow function: (doc_id, text) to the text's set size, digest and signature."""
+    """mapInArrow function: (doc_id, text, text's hash) to the text's set size, digest and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,7 +91,8 @@ def describe(k: int):
                 n += [len(s) for s in sets]
                 dig += [digest(s) if len(s) else None for s in sets]
                 sig += [next(rows).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+            cols = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "words", "n_shingles", "digest", "sig"])
 
     return run
 
@@ -103,7 +103,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             keys = chunk_keys(sig)
             ids = np.repeat(b.column(0).to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "node"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,19 +115,18 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
 
-def _sets_of(k: int, ids: Bloom | None, nodes: Bloom | None):
-    """mapInArrow function: (doc_id, text) to (rep, digest, grams), of the nodes in the filters if given."""
+def _sets_of(k: int, ids: Bloom, nodes: Bloom):
+    """mapInArrow function: (doc_id, text) to (rep, digest, grams), of the nodes in both filters. No id is -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if ids:
-                doc = b.column(0).fill_null(-1).to_numpy()
-                b = b.filter(pa.array(ids.has(doc.view(np.uint64)) if len(doc) else [], pa.bool_()))
-            doc = b.column(0).to_numpy(zero_copy_only=False)
+            doc = b.column(0).fill_null(-1).to_numpy()
+            some = ids.has(doc.view(np.uint64)) if len(doc) else np.zeros(0, bool)
+            b, doc = b.filter(pa.array(some)), doc[some].tolist()
             for i, sets in _texts(b, k):
                 at = [r for r, s in enumerate(sets) if len(s)]
                 digs = {r: digest(sets[r]) for r in at}
-                if at and nodes:
+                if at:
                     own = np.array([_node(doc[i + r], digs[r]) for r in at], np.uint64)
                     at = [r for r, ok in zip(at, nodes.has(own)) if ok]
                 cols = [pa.array([doc[i + r] for r in at], pa.int64()), pa.array([digs[r] for r in at], pa.binary()), pa.array([sets[r].tobytes() for r in at], pa.binary())]
@@ -140,10 +139,8 @@ def _node(rep: int, dig: bytes) -> int:
     return (int.from_bytes(dig[:8], "little") + int(rep) * 0x9E3779B97F4A7C15) & (2**64 - 1)
 
 
-def _node_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        own = np.array([_node(r, d) for r, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["key"])
+def _node_keys(b: pa.RecordBatch) -> np.ndarray:
+    return np.array([_node(r, d) for r, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.uint64)
 
 
 def similar(inter: int, a: int, b: int, percent: int) -> bool:
@@ -170,7 +167,8 @@ def _cross(percent: int):
     """applyInArrow function over one block pair: links between its different components."""
 
     def run(t: pa.Table) -> pa.Table:
-        rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy().copy()
+        B.lean()
+        rep, comp = t.column("node").to_numpy(), t.column("comp").to_numpy().copy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("grams").combine_chunks()]
         rep, at = np.unique(rep, return_index=True)
         comp, sets = comp[at], [sets[i] for i in at]
@@ -195,68 +193,99 @@ def _cross(percent: int):
     return run
 
 
-def link_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
-
-    Rows are linked if 100 * |A and B| >= ``percent`` * |A or B| for their sets of distinct
-    ``k``-word shingles. component_id is the smallest doc_id reachable by links. Null and empty
-    texts have no shingles and no links. Repeated rows are copies of each other; a null doc_id
-    never names a component (alone, it is its own null component). An empty table gives an empty
-    one; other columns play no part.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, words, n_shingles, comp, component_id) of every row; ``words`` is the text's hash,
+    ``comp`` the number of the row's component, null without shingles."""
+    store.small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("words"))
     own = store.materialise(source.mapInArrow(describe(k), _OWN), "own")
-    full = own.filter("digest is not null and doc_id is not null")
-    nodes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("r"))
-    nodes = store.materialise(nodes.select(F.col("r.doc_id").alias("rep"), "r.sig", "digest"), "nodes")
+    # a node is a set, whatever rows have it; rep is the id under which its shingles are fetched
+    nodes = own.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("r"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "r.doc_id", F.coalesce("r.doc_id", F.lit(-1)).alias("rep"), "r.sig", "digest")
+    nodes = store.materialise(nodes, "nodes")
 
-    keys = nodes.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
-    centre = [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"c{i}") for i in range(3)]
+    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
+    centre = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(3)]
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), *centre).filter("n > 1")
     members = store.materialise(keys.join(buckets, "key"), "members")
 
-    pairs = members.select("rep", F.explode(F.array("c0", "c1", "c2")).alias("c")).filter("rep <> c")
-    pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-    sig = nodes.select(F.col("rep"), "sig")
+    pairs = members.select("node", F.explode(F.array("c0", "c1", "c2")).alias("c")).filter("node <> c")
+    pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    sig = nodes.select("node", "sig")
     pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
     pairs = store.materialise(pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long"), "pairs")
 
-    inside = nodes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "digest")
-    n = inside.count()
-    if n <= MAX_FILTER_ROWS:
-        ids = fill(inside.select(F.col("rep").alias("key")), Bloom(n, 0.01, 1))
-        own_keys = fill(inside.mapInArrow(_node_keys, "key long"), Bloom(n, 1e-6, 2))
-        sets = source.mapInArrow(_sets_of(k, ids, own_keys), _SETS)
-    else:  # filters would be too large to send to every worker
-        some = source.join(inside.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        sets = some.mapInArrow(_sets_of(k, None, None), _SETS).join(inside, ["rep", "digest"], "left_semi")
-    sets = store.materialise(sets.select("rep", "grams"), "sets")
+    inside = store.materialise(nodes.join(members.select("node").distinct(), "node", "left_semi").select("rep", "digest", "node"), "inside")
+    n = max(inside.count(), 1)
+    ids = fill(inside.select(F.col("rep").alias("key")), Bloom(n, 0.01, 1, url_filter.SENT_BYTES))
+    own_keys = fill(inside.select("rep", "digest"), Bloom(n, 1e-6, 2, url_filter.SENT_BYTES), _node_keys)
+    # the filters spare work only: the join keeps the nodes alone, however many others pass
+    sets = source.select("doc_id", "text").mapInArrow(_sets_of(k, ids, own_keys), _SETS).dropDuplicates(["rep", "digest"])
+    sets = store.materialise(sets.join(inside, ["rep", "digest"]).select("node", "grams"), "sets")
 
     wide = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
     links = store.materialise(wide.select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
     first = store.materialise(components(links), "first")
+    store.discard(pairs, inside, links)
 
-    comp = first.toDF("rep", "comp")
-    placed = store.materialise(members.filter("n > 2").select("key", "rep", "n").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
-    h = F.xxhash64("rep")
+    comp = first.toDF("node", "comp")
+    placed = store.materialise(members.filter("n > 2").select("key", "node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    store.discard(members)
+    h = F.xxhash64("node")
     shape = placed.groupBy("key", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y"))
     still = shape.filter("lo <> hi").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")  # one of the buckets with the same members
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int")
+    part = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
     dealt = placed.join(still, "key", "left_semi").withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "rep", "comp", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-    more = dealt.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(_cross(percent), "a long, b long")
+    dealt = dealt.select("key", "node", "comp", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    more = dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_cross(percent), "a long, b long")
     mapped = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
     second = components(mapped.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    store.discard(placed, sets)
 
-    label = nodes.select("digest", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    label = label.join(second.toDF("comp", "top"), "comp", "left").select("digest", F.coalesce("top", "comp").alias("component_id"))
-    out = own.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    label = nodes.select("digest", "doc_id", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    label = label.join(second.toDF("comp", "top"), "comp", "left").select("digest", "doc_id", F.coalesce("top", "comp").alias("comp"))
+    least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    label = label.join(least, "comp").select("digest", "comp", "component_id")
+    out = own.select("doc_id", "words", "n_shingles", "digest").join(label, "digest", "left")
+    return out.select("doc_id", "words", "n_shingles", "digest", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def link_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+
+    Rows are linked if 100 * |A and B| >= ``percent`` * |A or B| for their sets of distinct
+    ``k``-word shingles. component_id is the smallest doc_id reachable by links. Null and empty
+    texts have no shingles and no links. Repeated rows are copies of each other, while two texts
+    under one id are linked only if they are similar; a null doc_id never names a component, and the
+    component of rows without ids alone is null. An empty table gives an empty one; other columns
+    play no part.
+    """
+    out = _components(docs, k, percent, id_col, text_col)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, that of the smallest id; all columns are kept."""
-    dropped = link_groups(docs, k, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+    """``docs`` with one row of each group, that of the smallest id; all columns are kept.
+
+    It is decided by row: of two texts under one id each stays or goes with its own group. Rows
+    without an id come last in their group, of repeated rows that with the smallest hash of all
+    columns stays, and rows without shingles all stay.
+    """
+    columns = docs.columns
+    rows = store.materialise(_components(docs, k, percent, id_col, text_col).filter("digest is not null").select("doc_id", "words", "comp"), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "words")
+    best = rows.groupBy("comp").agg(F.min(place).alias("best")).select("best.doc_id", "best.words")
+    texts = rows.groupBy("doc_id", "words").agg(F.count("*").alias("rows"))
+    same = [F.col("t.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("t.words") == F.col("b.words")]
+    flags = texts.alias("t").join(best.withColumn("is_best", F.lit(True)).alias("b"), same, "left").select("t.doc_id", "t.words", "rows", F.col("is_best").isNotNull().alias("best"))
+    flags = store.materialise(flags.filter("not best or rows > 1").select(F.col("doc_id").alias("__id"), F.col("words").alias("__words"), "best"), "flags")
+    store.discard(rows)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(id_col).cast("long").alias("__own"), F.xxhash64(text_col).alias("__text"))
+    match = [F.col("__own").eqNullSafe(F.col("__id")), F.col("__text") == F.col("__words")]
+    single = own.join(flags, match, "left_anti").select("__row")
+    repeated = flags.filter("best")
+    if not repeated.isEmpty():
+        several = own.join(repeated, match).groupBy("__own", "__text").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+        single = single.unionByName(several.select("__row"))
+    return single.select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])

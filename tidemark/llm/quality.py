@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import buffers as B
+from . import buffers as B, store
 
 BUCKETS = 1 << 15
 FACTORS = 8
@@ -80,6 +80,8 @@ class Machine:
     bias: float
     weight: np.ndarray  # (FEATURES,)
     factor: np.ndarray  # (FEATURES, FACTORS)
+    slope: float = 1.0  # of the logits, fitted on rows that the machine has not learnt
+    shift: float = 0.0
 
     def rows(self, buckets: list[np.ndarray], stats: np.ndarray):
         """(index, value, starts) of the sparse rows."""
@@ -100,7 +102,7 @@ class Machine:
 
     def score(self, buckets: list[np.ndarray], stats: np.ndarray) -> np.ndarray:
         z, _, _ = self.logits(*self.rows(buckets, stats))
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -35, 35)))
 
 
 def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.5, decay: float = 1e-5, seed: int = 3) -> Machine:
@@ -137,6 +139,47 @@ def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, steps:
     return m
 
 
+def calibrate(z: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve through the logits of rows not learnt, by Newton's method.
+
+    Labels are drawn in by their smoothed shares (Platt), so rows that are told apart without a
+    fault still give a finite slope; slopes below a tenth are a tenth, so the order never turns.
+    """
+    good = labels.sum()
+    target = np.where(labels > 0, (good + 1) / (good + 2), 1 / (len(labels) - good + 2))
+    scale = max(z.std(), 1e-9)
+    x = np.column_stack([(z - z.mean()) / scale, np.ones(len(z))])
+    w = np.array([1.0, np.log((good + 1) / (len(labels) - good + 1))])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        slope = x.T @ (p - target) + 1e-3 * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), slope)
+        w -= np.clip(step, -2, 2)
+        if abs(step).max() < 1e-9:
+            break
+    a = max(w[0] / scale, 0.1)
+    return float(a), float(w[1] - a * z.mean())
+
+
+def fit_calibrated(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, share: int = 4) -> Machine:
+    """A machine fitted to all rows but each ``share``-th of either label, on which it is calibrated.
+
+    With fewer than eight rows of a label there is no slice to spare, and it stays as fitted.
+    """
+    place = np.empty(len(labels), np.int64)
+    for value in (0, 1):
+        own = np.flatnonzero(labels == value)
+        place[own] = np.arange(len(own))
+    if min((labels == 0).sum(), (labels == 1).sum()) < 8:
+        return fit(buckets, stats, labels)
+    spare = place % share == share - 1
+    m = fit([b for b, s in zip(buckets, spare) if not s], stats[~spare], labels[~spare])
+    own = np.flatnonzero(spare)
+    z = np.concatenate([m.logits(*m.rows([buckets[i] for i in part], stats[part]))[0] for part in np.array_split(own, -(-len(own) // 256))])
+    m.slope, m.shift = calibrate(z, labels[spare])
+    return m
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, label, text, declared) to (doc_id, label, buckets, stats)."""
     for b in batches:
@@ -158,17 +201,24 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> Machine:
-    """Fit on at most ``max_rows`` labelled rows that aren't held out; null labels don't count."""
+    """Fit on at most ``max_rows`` labelled rows that aren't held out; null labels don't count.
+
+    Of an id with several labels the largest counts, of rows of one id the one with the smallest
+    statistics. Rows are taken in the order of their ids' hashes, as long as they have
+    ``max_words`` distinct words between them.
+    """
+    store.small_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label_col).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(*_columns(docs, id_col, text_col, length_col)).join(F.broadcast(known), "doc_id")  # at most ``max_rows``
     got = rows.select("doc_id", "label", "text", "declared").mapInArrow(_features, "doc_id long, label double, buckets binary, stats binary")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("label", "stats", "buckets")).alias("r")).select("doc_id", "r.*")  # of repeated ids one row
     size = F.sum(F.octet_length("buckets") / 4).over(_first_rows())
     got = got.withColumn("so_far", size).filter(F.col("so_far") <= max_words).drop("so_far").toArrow().sort_by([("doc_id", "ascending"), ("stats", "ascending")])
     buckets = [np.frombuffer(x, np.int32).astype(np.int64) for x in got.column("buckets").to_pylist()]
     stats = np.array([np.frombuffer(x) for x in got.column("stats").to_pylist()]).reshape(-1, STATS)
-    return fit(buckets, stats, got.column("label").to_numpy())
+    return fit_calibrated(buckets, stats, got.column("label").to_numpy())
 
 
 def _first_rows():
@@ -184,16 +234,18 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, id_co
     scores. An empty table gives an empty one. A row without an id is not held out. No column but
     the text and the declared length is an input of a score.
     """
+    store.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Machine = held.value
         for b in batches:
-            out = [m.score(w, s) for _, w, s in describe(b.column(1), b.column(2))]
+            rest = [b.column(0)] if keep is None else b.column(0).flatten()
+            text = b.column(1) if keep is None else rest[keep.index(text_col)]
+            out = [m.score(w, s) for _, w, s in describe(text, b.column(b.num_columns - 1))]
             p = np.concatenate(out) if out else np.zeros(0)
-            rest = [] if keep is None else b.column(3).flatten()
             names = ["doc_id"] if keep is None else [f"c{i}" for i in range(len(rest))]
-            cols = [b.column(0)] if keep is None else rest
+            cols = rest
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     cols = _columns(docs, id_col, text_col, length_col)
@@ -201,9 +253,9 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, id_co
         out = docs.select(cols).mapInArrow(run, "doc_id long, score double, predicted int")
         return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
     types = [(f"c{i}", docs.schema[c].dataType.simpleString()) for i, c in enumerate(keep)]
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])  # the text travels once
     schema = ", ".join(f"{c} {t}" for c, t in types) + ", score double, predicted int"
-    got = docs.select(*cols, whole.alias("row")).mapInArrow(run, schema)
+    got = docs.select(whole.alias("row"), cols[2]).mapInArrow(run, schema)
     return got.toDF(*keep, "score", "predicted")
 
 

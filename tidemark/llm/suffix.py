@@ -12,6 +12,11 @@ its context. Runs are counted by anchor and by the context's hash before any tex
   Larsson-Sadakane refinement and Kasai's common prefixes tell which strings repeat. The contexts
   of a very common anchor are dealt over several shards, whose sorted strings are merged by
   binary search.
+
+Contexts count as equal if the 64-bit hashes of their anchors and those of their bytes and length
+agree, 128 bits in all; strings of different shards by 128 bits. A row is told by its id and a
+64-bit hash of its text, so only rows of one id could be taken for each other, and they only by
+chance of 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -24,15 +29,15 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from . import buffers as B, store
+from . import buffers as B, store, url_filter
 from .url_filter import Bloom, fill
 
 LENGTH = 200
 GRAM = 32
 SHARD_CONTEXTS = 2_500
-MAX_FILTER_ROWS = 10_000_000
-SEGMENT = 1_000_000
-CHUNK = 400_000
+MERGE_STRINGS = 200_000
+SEGMENT = 400_000
+CHUNK = 250_000
 _POSITION = B.U((1 << 24) - 1)
 
 
@@ -183,27 +188,27 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int):
 
 
 def _find_runs(length: int):
-    """mapInArrow function: (row, text) to runs. A very long text is walked in segments."""
+    """mapInArrow function: (doc, row, text) to runs. A very long text is walked in segments."""
+    names = ["doc", "row", "start", "stop", "anchor", "context"]
 
-    def one(data, offs, rows):
+    def one(data, offs, keys, shift=0):
         own, start, stop, anchor, context = runs(data, offs, length)
-        cols = [pa.array(rows[own]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))]
-        return pa.RecordBatch.from_arrays(cols, ["row", "start", "stop", "anchor", "context"])
+        cols = [(start + shift).astype(np.int32), (stop + shift).astype(np.int32), anchor.view(np.int64), context.view(np.int64)]
+        return pa.RecordBatch.from_arrays([*(pa.array(k[own]) for k in keys), *map(pa.array, cols)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column(0).to_numpy()
-            data, offs = B.utf8(b.column(1))
+            keys = [b.column(0).to_numpy(), b.column(1).to_numpy()]
+            data, offs = B.utf8(b.column(2))
             for i, j in B.spans(offs, CHUNK):
                 lo, hi = offs[i], offs[j]
+                own = [k[i:j] for k in keys]
                 if hi - lo <= SEGMENT:
-                    yield one(data[lo:hi], offs[i : j + 1] - lo, rows[i:j])
+                    yield one(data[lo:hi], offs[i : j + 1] - lo, own)
                     continue
                 for s in range(0, int(hi - lo), SEGMENT):
                     end = min(int(hi - lo), s + SEGMENT + length - 1)
-                    got = one(data[lo + s : lo + end], np.array([0, end - s]), rows[i:j])
-                    shift = pa.scalar(s, pa.int32())
-                    yield pa.RecordBatch.from_arrays([got.column(0), pa.compute.add(got.column(1), shift), pa.compute.add(got.column(2), shift), *got.columns[3:]], got.schema.names)
+                    yield one(data[lo + s : lo + end], np.array([0, end - s]), own, s)
 
     return run
 
@@ -211,28 +216,30 @@ def _find_runs(length: int):
 # --- shards -------------------------------------------------------------------------------------
 
 
+_RUN = ["doc", "row", "start", "stop", "anchor", "context", "n", "pieces"]
+
+
 def _contexts(length: int):
     """mapInArrow function: (text, wanted) to one row a wanted context, with its bytes."""
-    names = ["row", "start", "stop", "anchor", "context", "n", "pieces"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = B.utf8(b.column(0))
-            raw = data.tobytes()
+            raw = memoryview(np.ascontiguousarray(data))
             wanted = b.column(1)
             flat = wanted.flatten()
             owner = np.repeat(offs[:-1], np.diff(wanted.offsets.to_numpy()))
-            cols = [flat.field(n) for n in names]
-            start, stop = cols[1].to_numpy(), cols[2].to_numpy()
-            for i in range(0, len(flat), 10_000):  # contexts are longer than runs, so in slices
-                part = slice(i, i + 10_000)
+            cols = [flat.field(n) for n in _RUN]
+            start, stop = flat.field("start").to_numpy(), flat.field("stop").to_numpy()
+            for i in range(0, len(flat), 4_000):  # contexts are longer than runs, so in slices
+                part = slice(i, i + 4_000)
                 own = [raw[o + s : o + e + length - 1] for o, s, e in zip(owner[part].tolist(), start[part].tolist(), stop[part].tolist())]
-                yield pa.RecordBatch.from_arrays([*(c[part] for c in cols), pa.array(own, pa.binary())], [*names, "bytes"])
+                yield pa.RecordBatch.from_arrays([*(c[part] for c in cols), pa.array(own, pa.binary())], [*_RUN, "bytes"])
 
     return run
 
 
-_FOUND = "row long, lo int, hi int, digest binary, piece int"
+_FOUND = "doc long, row long, lo int, hi int, piece int, d1 long, d2 long"
 
 
 def _shard(length: int):
@@ -241,25 +248,39 @@ def _shard(length: int):
     import xxhash
 
     def run(t: pa.Table) -> pa.Table:
+        B.lean()
         t = t.combine_chunks()
+        doc, row, first, stop, n, pieces, piece = (t.column(c).to_numpy() for c in ("doc", "row", "start", "stop", "n", "pieces", "piece"))
         contexts = t.column("bytes").to_pylist()
-        row, first, stop, n, pieces, piece = (t.column(c).to_numpy() for c in ("row", "start", "stop", "n", "pieces", "piece"))
         starts, repeated, leader = repeats(contexts, length)
-        out: list[tuple] = []
-        for k, s in enumerate(starts.tolist()):
-            width = int(stop[k] - first[k])
-            if n[k] == 1:  # contexts that occur more often are repeated whole already
-                here = np.diff(np.concatenate([[0], repeated[s : s + width].astype(np.int8), [0]]))
-                for a, b in zip(np.flatnonzero(here == 1).tolist(), np.flatnonzero(here == -1).tolist()):
-                    out.append((int(row[k]), int(first[k]) + a, int(first[k]) + b - 1 + length, None, None))
-            if pieces[k] > 1:
-                for a in np.flatnonzero(leader[s : s + width]).tolist():
-                    open_ = n[k] == 1 and not repeated[s + a]
-                    lo = int(first[k]) + a if open_ else -1
-                    out.append((int(row[k]), lo, lo + length, xxhash.xxh3_128_digest(contexts[k][a : a + length]), int(piece[k])))
-        cols = zip(*out) if out else [[]] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["row", "lo", "hi", "digest", "piece"])
+        # every start of a string: its context k, its place in the run and in the shard's text
+        width = (stop - first).astype(np.int64)
+        k = np.repeat(np.arange(len(width)), width)
+        within = np.arange(len(k)) - np.repeat(np.cumsum(width) - width, width)
+        at = starts[k] + within
+        once = n[k] == 1  # contexts that occur more often are repeated whole already
+        gone = repeated[at] & once
+        edge = np.ones(len(k), bool)
+        edge[1:] = k[1:] != k[:-1]
+        head, tail = gone.copy(), gone.copy()
+        head[1:] &= edge[1:] | ~gone[:-1]
+        tail[:-1] &= edge[1:] | ~gone[1:]
+        head, tail = np.flatnonzero(head), np.flatnonzero(tail)
+        told = np.flatnonzero(leader[at] & (pieces[k] > 1))
+        digests = np.empty((len(told), 2), np.int64)
+        for i in range(0, len(told), 20_000):
+            own = told[i : i + 20_000]
+            raw = b"".join(xxhash.xxh3_128_digest(contexts[c][a : a + length]) for c, a in zip(k[own].tolist(), within[own].tolist()))
+            digests[i : i + 20_000] = np.frombuffer(raw, np.int64).reshape(-1, 2)
+        open_ = once[told] & ~repeated[at[told]]
+        lo = np.concatenate([first[k[head]] + within[head], np.where(open_, first[k[told]] + within[told], -1)])
+        hi = np.concatenate([first[k[tail]] + within[tail] + length, first[k[told]] + within[told] + length])
+        owner = np.concatenate([k[head], k[told]])
+        empty = np.arange(len(owner)) < len(head)
+        d1, d2 = (np.concatenate([np.zeros(len(head), np.int64), d]) for d in digests.T)
+        cols = [pa.array(doc[owner]), pa.array(row[owner]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+        cols += [pa.array(piece[owner], pa.int32(), mask=empty), pa.array(d1), pa.array(d2)]
+        return pa.table(cols, ["doc", "row", "lo", "hi", "piece", "d1", "d2"])
 
     return run
 
@@ -269,128 +290,158 @@ def _merge(t: pa.Table) -> pa.Table:
 
     Each shard's sorted digests are searched for in the sorted digests of all.
     """
+    B.lean()
     t = t.combine_chunks()
-    words = np.frombuffer(b"".join(t.column("digest").to_pylist()), [("a", ">u8"), ("b", ">u8")])
-    lo = t.column("lo").to_numpy()
-    order = np.lexsort((words["b"], words["a"]))
-    ranked = words[order]
+    d1, d2, lo = (t.column(c).to_numpy() for c in ("d1", "d2", "lo"))
+    order = np.lexsort((d2, d1))
     step = np.ones(len(order), np.int64)
-    if len(order):
-        step[1:] = (ranked[1:] != ranked[:-1]).astype(np.int64)
+    step[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(step)
     both = np.sort(number)
     seen = np.searchsorted(both, number, side="right") - np.searchsorted(both, number, side="left")
-    keep = (seen > 1) & (lo >= 0)
-    return pa.table([t.column("row").filter(pa.array(keep)), t.column("lo").filter(pa.array(keep)), t.column("hi").filter(pa.array(keep))], ["row", "lo", "hi"])
+    keep = pa.array((seen > 1) & (lo >= 0))
+    return t.select(["doc", "row", "lo", "hi"]).filter(keep)
 
 
 # --- texts --------------------------------------------------------------------------------------
 
 
-def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
+def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that some spans cover; spans that touch are one run."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    head = np.ones(len(starts), bool)
+    head[1:] = starts[1:] > reach[:-1]
+    last = np.append(head[1:], True) if len(head) else head
+    return starts[head], reach[last]
+
+
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
+def _finished(b: pa.RecordBatch, spans: pa.Array | None) -> Iterator[pa.RecordBatch]:
+    """The result's rows for texts and the spans to cut from each, in bounded slices."""
+    data, offs = B.utf8(b.column(b.schema.get_field_index("text")))
+    doc = b.column(b.schema.get_field_index("doc_id"))
+    if spans is not None:
+        first = spans.offsets.to_numpy()
+        lo, hi = (spans.values.field(c).to_numpy() for c in ("lo", "hi"))
+    for i, j in B.spans(offs):
+        own, size = data[offs[i] : offs[j]], np.diff(offs[i : j + 1])
+        starts = ends = n_spans = np.zeros(0, np.int64)
+        if spans is not None:
+            part = slice(first[i], first[j])
+            text = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
+            base = (offs[i:j] - offs[i])[text] + text  # one place between texts keeps their spans apart
+            starts, ends = union(base + lo[part], base + hi[part])
+            text = np.searchsorted(offs[i : j + 1] - offs[i] + np.arange(j - i + 1), starts, side="right") - 1
+            n_spans, starts, ends = text, starts - text, ends - text
+        stay = np.ones(len(own), bool)
+        if len(starts):
+            edge = np.zeros(len(own) + 1, np.int32)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, ends, -1)
+            stay = np.cumsum(edge[:-1]) == 0
+        left = np.concatenate([[0], np.cumsum(stay)])[offs[i : j + 1] - offs[i]]
+        kept = own[stay].tobytes()
+        digests = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(left[:-1].tolist(), left[1:].tolist())]
+        whole = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(kept)])
+        counts = np.bincount(n_spans, minlength=j - i)
+        cols = [doc[i:j], pa.array(size), pa.array(size - np.diff(left)), pa.array(counts.astype(np.int64)), pa.array(digests, pa.string()), whole.cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) to the result's rows, with the bytes that stay."""
+    """mapInArrow function: (doc_id, text, spans) to the result's rows, with the bytes that stay."""
     for b in batches:
-        rows = []
-        for doc, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            raw = (text or "").encode()
-            cut = union([(s["lo"], s["hi"]) for s in spans or ()])
-            kept, at = [], 0
-            for lo, hi in cut:
-                kept.append(raw[at:lo])
-                at = hi
-            kept = b"".join([*kept, raw[at:]])
-            rows.append((doc, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        cols = zip(*rows) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def _in(bloom: Bloom, wanted: bool):
-    """mapInArrow function: the rows whose first column is (or is not) in the filter."""
+        if b.num_rows:
+            yield from _finished(b, b.column(2))
+
+
+def _row_keys(b: pa.RecordBatch) -> np.ndarray:
+    return B.mix(b.column(0).to_numpy().view(np.uint64) * B._ODD) ^ b.column(1).to_numpy().view(np.uint64)
+
+
+def _inside(bloom: Bloom):
+    """mapInArrow function: the rows (doc, row, ...) in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            B.lean()
             if b.num_rows:
-                yield b.filter(pa.array(bloom.has(b.column(0).to_numpy().view(np.uint64)) == wanted))
+                yield b.filter(pa.array(bloom.has(_row_keys(b))))
 
     return run
 
 
+def _untouched(bloom: Bloom):
+    """mapInArrow function: the result's rows for the texts that aren't in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                b = b.filter(pa.array(~bloom.has(_row_keys(b))))
+                yield from _finished(b, None)
+
+    return run
+
+
+def _filter_of(rows: DataFrame) -> Bloom:
+    """A filter of the keys of ``rows``, which are distinct. It spares shuffles of texts that nothing
+    is known of; its size is bounded, so with very many rows it takes in more of the others."""
+    return fill(rows.select("doc", "row"), Bloom(max(rows.count(), 1), 0.01, 5, url_filter.SENT_BYTES), _row_keys)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; ``kept`` holds the
     bytes that stay.
 
     Texts are UTF-8 bytes, null is empty; strings never cross texts. A repeated row is a text of
     its own, so both lose all strings of ``length``. Texts shorter than ``length`` lose nothing.
-    An empty table gives an empty one; other columns play no part.
+    An empty table gives an empty one; other columns play no part. The runs and spans of one text
+    are one array, which is of the order of the text.
     """
-    spark = docs.sparkSession
+    store.small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    # rows of equal id and text are told by one key: they have equal results
-    source = source.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    schema = "row long, start int, stop int, anchor long, context long"
-    every = store.materialise(source.select("row", "text").mapInArrow(_find_runs(length), schema), "runs")
-    common = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).filter("n > 1")
-    shared = every.join(common.select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "anchor")
-    shared = store.materialise(shared, "shared")
-    store.discard(every)
-    store.release(spark)
+    # rows of equal id and text share a key: they have equal results
+    source = source.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("text").alias("row"), "doc_id", "text")
+    key = ["doc", "row"]
+    every = store.materialise(source.select(*key, "text").mapInArrow(_find_runs(length), "doc long, row long, start int, stop int, anchor long, context long"), "runs")
+    total = every.count()
+    common = every.groupBy("anchor").agg(F.count("*").alias("of"), F.min("context").alias("lo"), F.max("context").alias("hi")).filter("of > 1")
+    common = store.materialise(common.select("anchor", "of", (F.col("lo") == F.col("hi")).alias("same")), "common")
+    shared = store.materialise(store.join_facts(every, common, ["anchor"], "of", total).drop("of"), "shared")
+    store.discard(every, common)
 
     mixed = shared.filter(~F.col("same"))
-    kinds = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "stop")).alias("r"))
+    kinds = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct(*key, "start", "stop")).alias("r"))
     kinds = store.materialise(kinds.select("anchor", "context", "n", "r.*"), "kinds")
-    per_anchor = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / SHARD_CONTEXTS).cast("int").alias("pieces"))
-    wanted = kinds.join(per_anchor, "anchor").groupBy("row").agg(F.collect_list(F.struct("row", "start", "stop", "anchor", "context", "n", "pieces")).alias("wanted"))
-    total = kinds.count()
-    shards = max(1, -(-total // SHARD_CONTEXTS))
-    some = _only(source, kinds.select("row"), True)
-    contexts = some.select("row", "text").dropDuplicates(["row"]).join(wanted, "row").select("text", "wanted")
-    contexts = contexts.mapInArrow(_contexts(length), "row long, start int, stop int, anchor long, context long, n long, pieces int, bytes binary")
+    n_kinds = kinds.count()
+    per_anchor = store.materialise(kinds.groupBy("anchor").agg(F.count("*").alias("of")), "per-anchor")
+    dealt = store.join_facts(kinds, per_anchor, ["anchor"], "of", n_kinds).withColumn("pieces", F.ceil(F.col("of") / SHARD_CONTEXTS).cast("int"))
+    wanted = store.materialise(dealt.groupBy(key).agg(F.collect_list(F.struct(*_RUN)).alias("wanted")), "wanted")
+    shards = max(1, -(-n_kinds // SHARD_CONTEXTS))
+    some = source.select(*key, "text").mapInArrow(_inside(_filter_of(wanted)), "doc long, row long, text string")
+    contexts = some.dropDuplicates(key).join(wanted, key).select("text", "wanted")
+    contexts = contexts.mapInArrow(_contexts(length), "doc long, row long, start int, stop int, anchor long, context long, n long, pieces int, bytes binary")
     contexts = contexts.withColumn("piece", F.pmod(F.col("context"), F.col("pieces")).cast("int"))
     contexts = contexts.withColumn("shard", F.pmod(F.xxhash64("anchor", "piece"), F.lit(shards)).cast("int"))
     found = store.materialise(contexts.groupBy("shard").applyInArrow(_shard(length), _FOUND), "found")
-    store.release(spark)
-    strings = found.filter("digest is not null")
-    buckets = max(1, -(-strings.count() // 500_000))
-    crossed = strings.groupBy(F.pmod(F.xxhash64("digest"), F.lit(buckets))).applyInArrow(_merge, "row long, lo int, hi int")
-
-    whole = shared.filter("same").select("row", "start", "stop")
-    whole = whole.unionByName(mixed.join(kinds.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("row", "start", "stop"))
-    spans = whole.select("row", F.col("start").alias("lo"), (F.col("stop") - 1 + length).alias("hi")).distinct()
-    spans = spans.unionByName(found.filter("digest is null").select("row", "lo", "hi")).unionByName(crossed)
-    spans = store.materialise(spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    touched = _only(source, spans.select("row"), True).join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_finish, out)
-    if not _fits(spans):
-        return touched
-    clear = _only(source, spans.select("row"), False).select("doc_id", "text", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))
-    return touched.unionByName(clear.mapInArrow(_finish, out))
-
-
-def _fits(keys: DataFrame) -> bool:
-    return keys.count() <= MAX_FILTER_ROWS
-
-
-def _only(source: DataFrame, rows: DataFrame, wanted: bool) -> DataFrame:
-    """The rows of ``source`` in a Bloom filter of ``rows`` (some more may pass), or the others.
-
-    Keeps texts that nothing is known of out of shuffles. Beyond ``MAX_FILTER_ROWS`` the filter
-    would be too large to send, and all rows pass.
-    """
-    n = rows.count()
-    if n > MAX_FILTER_ROWS:
-        return source
-    bloom = fill(rows.select(F.col("row").alias("key")), Bloom(n, 0.01, 5))
-    return source.mapInArrow(_in(bloom, wanted), source.schema)
+    store.discard(wanted, per_anchor)
+    strings = found.filter("piece is not null")
+    buckets = max(1, -(-strings.count() // MERGE_STRINGS))
+    crossed = strings.groupBy(F.pmod(F.xxhash64("d1", "d2"), F.lit(buckets))).applyInArrow(_merge, "doc long, row long, lo int, hi int")
+
+    again = kinds.filter("n > 1").select("anchor", "context", "n")
+    whole = shared.filter("same").select(*key, "start", "stop")
+    whole = whole.unionByName(store.join_facts(mixed.drop("same"), again, ["anchor", "context"], "n", total).select(*key, "start", "stop"))
+    spans = whole.select(*key, F.col("start").alias("lo"), (F.col("stop") - 1 + length).alias("hi")).distinct()
+    spans = spans.unionByName(found.filter("piece is null").select(*key, "lo", "hi")).unionByName(crossed)
+    spans = store.materialise(spans.groupBy(key).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    store.discard(shared, kinds, found)
+    bloom = _filter_of(spans)
+    inside = source.mapInArrow(_inside(bloom), source.schema)
+    touched = inside.join(spans, key, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans")).mapInArrow(_finish, _OUT)
+    return touched.unionByName(source.mapInArrow(_untouched(bloom), _OUT))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import store
+from . import buffers as B, store
 
 CACHE_KEY = "tidemark.tokenCache"
 _SCHEMA = "digest binary, n_tokens long"
@@ -43,17 +43,15 @@ def _counter(path: str):
 
 
 def encode_counts(path: str):
-    """mapInArrow function: (digest, text) to (digest, n_tokens), each digest once a task."""
+    """mapInArrow function: (digest, text), equal digests next to each other, to (digest, n_tokens) once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(path)
-        seen: set[bytes] = set()  # repeated rows meet in one task
+        B.lean()
+        count, last = _counter(path), None
         for b in batches:
-            fresh = []
-            for d in b.column(0).to_pylist():
-                fresh.append(d not in seen)
-                seen.add(d)
-            b = b.filter(pa.array(fresh, pa.bool_()))
+            digests = [last, *b.column(0).to_pylist()]
+            b = b.filter(pa.array([x != y for x, y in zip(digests, digests[1:])], pa.bool_()))
+            last = digests[-1]
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(count(texts), pa.int64())], ["digest", "n_tokens"])
 
@@ -77,19 +75,24 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     or a new one for this call. ``over_limit`` is n_tokens > ``limit``.
     """
     spark = docs.sparkSession
+    store.small_batches(spark)
     cache = cache or spark.conf.get(CACHE_KEY, None) or f"{store.shared_dir(spark)}/tidemark/token-cache-{uuid.uuid4().hex}"
     version = version_digest(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     keyed = own.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     known = read_cache(spark, cache, version)
-    misses = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    texts = store.materialise(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "digests")
+    misses = texts.select("digest", "doc_id")
     if known is not None:
         misses = misses.join(known, "digest", "left_anti")
     # a null or repeated id can't stand for a text alone, so the digest is part of the key
     todo = own.withColumn("same", F.coalesce("doc_id", F.lit(-1))).join(
-        misses.select(F.col("digest").alias("d"), F.coalesce("doc_id", F.lit(-1)).alias("s")).hint("shuffle_hash"), (F.col("same") == F.col("s")) & (F.col("digest") == F.col("d")), "left_semi")
+        misses.select(F.col("digest").alias("d"), F.coalesce("doc_id", F.lit(-1)).alias("s")), (F.col("same") == F.col("s")) & (F.col("digest") == F.col("d")), "left_semi").sortWithinPartitions("same", "digest")
     batch = f"{cache}/{version}/batch-{uuid.uuid4().hex}"
     todo.select("digest", "text").mapInArrow(encode_counts(tokenizer_path), _SCHEMA).write.parquet(batch)
     counts = read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    total = texts.agg(F.sum("rows")).first()[0] or 0
+    counted = store.materialise(texts.join(counts, "digest").select("digest", "rows", "n_tokens"), "counted")
+    found = store.join_facts(keyed, counted, ["digest"], "rows", total)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import buffers as B, store
 
 MAX_FILTER_BYTES = 64 << 20
+#: largest filter that only spares work: past it more keys pass, and the joins behind it take them
+SENT_BYTES = 32 << 20
 MAX_LEVELS = 64
 
 
@@ -36,10 +38,14 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 class Bloom:
     """A Bloom filter over 64-bit hashes; ``seed`` sets levels apart."""
 
-    def __init__(self, n: int, rate: float, seed: int):
+    def __init__(self, n: int, rate: float, seed: int, max_bytes: int | None = None):
+        """For ``n`` keys; past ``max_bytes`` the filter stays that large and takes in more wrongly."""
         rate = min(max(rate, 1e-6), 0.5)
         self.bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
         self.probes = max(1, round(-math.log2(rate)))
+        if max_bytes and self.bits > 8 * max_bytes:
+            self.bits = max(64, 8 * max_bytes)
+            self.probes = max(1, round(self.bits / n * math.log(2)))
         self.seed = seed
         self.words = np.zeros((self.bits + 63) // 64, np.uint64)
 
@@ -81,13 +87,18 @@ class Cascade:
         return self.depth(keys) % 2 == 1
 
 
-def fill(keys: DataFrame, bloom: Bloom) -> Bloom:
-    """Set the bits of all rows of ``keys``(key long); partial words meet in an OR by word."""
+def _first(b: pa.RecordBatch) -> np.ndarray:
+    return b.column(0).to_numpy().view(np.uint64)
+
+
+def fill(keys: DataFrame, bloom: Bloom, key_of=_first) -> Bloom:
+    """Set the bits of all rows of ``keys``, whose 64-bit keys ``key_of`` tells from a batch (by default
+    its first column); partial words meet in an OR by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                word, bits = bloom.parts(b.column(0).to_numpy().view(np.uint64))
+                word, bits = bloom.parts(key_of(b))
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], ["word", "bits"])
 
     got = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # no more words than the filter has
