@@ -5,6 +5,7 @@ Pure numpy, made to run once a rebalance date inside a grouped map.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -47,25 +48,58 @@ def sample(x: np.ndarray) -> np.ndarray:
     return y.T @ y / max(len(y) - 1, 1)
 
 
-def shrink(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Optimal linear shrinkage of the sample covariance to a target taken as fixed; (matrix, share).
+def shrink(x: np.ndarray, target: np.ndarray, shared: float = 0.0) -> tuple[np.ndarray, float]:
+    """Optimal linear shrinkage of the sample covariance (over n days) to a target; (matrix, share).
 
-    The share of the target is the summed sampling variance over the squared distance, in [0, 1].
+    The share of the target is the summed sampling variance of the sample, less its summed
+    covariance with the target (``shared``, 0 for a target taken as fixed), over the squared
+    distance and the days, in [0, 1].
     """
     y = centred(x)
     n = len(y)
     s = y.T @ y / n
-    noise = ((y**2).T @ (y**2) / n - s**2).sum() / n
-    gap = ((s - target) ** 2).sum()
+    noise = (((y**2).sum(axis=1) ** 2).mean() - (s**2).sum()) - shared
+    gap = ((s - target) ** 2).sum() * n
     delta = float(np.clip(noise / gap, 0, 1)) if gap > 0 else 1.0
-    return (delta * target + (1 - delta) * s) * n / max(n - 1, 1), delta
+    return delta * target + (1 - delta) * s, delta
+
+
+def shared_with_corr(y: np.ndarray, corr: np.ndarray) -> float:
+    """Summed sampling covariance of the sample and of the target with its variances and ``corr``.
+
+    The target moves with the variances alone: its cell (i, j) by corr / 2 * sd_j / sd_i times what
+    s_ii moves, and likewise for j. What s_ii moves on a day is y_i^2 - s_ii, whose mean is 0.
+    """
+    var = (y**2).mean(axis=0)
+    sd = np.sqrt(np.maximum(var, 1e-300))
+    moved = y**2 - var
+    off = corr - np.diag(np.diag(corr))
+    return float(((moved / sd * y) @ off * (y * sd)).sum() / len(y) + (moved**2).sum() / len(y))
+
+
+def shared_with_factor(y: np.ndarray, m: np.ndarray) -> float:
+    """Summed sampling covariance of the sample and of the one-factor target c c' / v.
+
+    c moves by y m - c on a day and v by m^2 - v; sums over all pairs are products of sums a day,
+    and the diagonal, where the target is the sample's, is taken out of them.
+    """
+    n, s, c, v = len(y), y.T @ y / len(y), y.T @ m / len(y), float(m @ m) / len(y)
+    load = y @ c
+    with_c = (m * (y**2).sum(axis=1) * load).mean() - c @ s @ c
+    with_c -= c @ ((y**3).T @ m / n - np.diag(s) * c)
+    with_v = (m**2 * load**2).mean() - v * (c @ s @ c)
+    with_v -= c**2 @ ((y**2).T @ m**2 / n - v * np.diag(s))
+    diagonal = ((y**4).mean(axis=0) - np.diag(s) ** 2).sum()
+    return float(diagonal + 2 * with_c / v - with_v / v**2) if v > 0 else float(diagonal)
 
 
 @estimator
 def shrink_to_corr(x: np.ndarray, corr: np.ndarray | None = None) -> np.ndarray:
+    """Shrinkage to the sample's variances with a given correlation."""
     y = centred(x)
     s = y.T @ y / len(y)
-    return shrink(x, from_corr(np.eye(len(s)) if corr is None else corr, s))[0]
+    corr = np.eye(len(s)) if corr is None else corr
+    return shrink(x, from_corr(corr, s), shared_with_corr(y, corr))[0]
 
 
 @estimator
@@ -78,8 +112,9 @@ def const_corr(x: np.ndarray) -> np.ndarray:
 
 @estimator
 def identity(x: np.ndarray) -> np.ndarray:
-    s = sample(x)
-    return shrink(x, np.eye(len(s)) * np.trace(s) / len(s))[0]
+    y = centred(x)
+    p = y.shape[1]
+    return shrink(x, np.eye(p) * (y**2).sum() / (len(y) * p))[0]
 
 
 @estimator
@@ -88,10 +123,10 @@ def single_factor(x: np.ndarray) -> np.ndarray:
     y = centred(x)
     n = len(y)
     m = y.mean(axis=1)
-    b = y.T @ m / (m @ m)
-    target = np.outer(b, b) * (m @ m) / n
+    c = y.T @ m / n
+    target = np.outer(c, c) / max(m @ m / n, 1e-300)
     np.fill_diagonal(target, (y**2).sum(axis=0) / n)
-    return shrink(x, target)[0]
+    return shrink(x, target, shared_with_factor(y, m))[0]
 
 
 @estimator
@@ -117,7 +152,7 @@ def nonlinear(x: np.ndarray) -> np.ndarray:
         h0 = (1 / np.pi) * (3 / (10 * h**2) + 0.75 / root5 / h * (1 - 1 / (5 * h**2)) * np.log((1 + root5 * h) / (1 - root5 * h))) * (1 / value).mean()
         zero = 1 / (np.pi * (p - n) / n * h0)
         new = np.concatenate([np.full(p - n, zero), value / (np.pi**2 * value**2 * (density**2 + hilbert**2))])
-    return vector @ (np.sort(new)[:, None] * vector.T)
+    return vector @ (new[:, None] * vector.T)
 
 
 @estimator
@@ -192,7 +227,7 @@ def pca(x: np.ndarray, k: int = 3) -> np.ndarray:
     return common + np.diag(np.maximum(np.diag(s - common), 1e-12))
 
 
-def number_of_factors(x: np.ndarray, most: int = 8) -> int:
+def number_of_factors(x: np.ndarray, most: int = 10) -> int:
     """The number of factors of the smallest information criterion."""
     y = centred(x)
     n, p = y.shape
@@ -203,28 +238,38 @@ def number_of_factors(x: np.ndarray, most: int = 8) -> int:
 
 
 @estimator
-def poet(x: np.ndarray, k: int | None = None, c: float = 0.5, support: np.ndarray | None = None) -> np.ndarray:
-    """Principal components plus residual covariances under an adaptive soft threshold."""
+def poet(x: np.ndarray, k: int | None = None, c: float = 0.5, support: np.ndarray | None = None, raises: int = 30) -> np.ndarray:
+    """Principal components plus residual covariances under an adaptive soft threshold.
+
+    ``c`` is raised by a quarter, ``raises`` times at most, until the matrix is positive definite.
+    With a ``support`` the residual covariances of its pairs stay whole, as the nearest correlation.
+    """
     y = centred(x)
     n, p = y.shape
     k = number_of_factors(x) if k is None else k
-    s = y.T @ y / n
-    value, vector = np.linalg.eigh(s)
+    value, vector = np.linalg.eigh(y.T @ y / n)
     top = vector[:, p - k :]
+    common = (top * value[p - k :]) @ top.T
     e = y - y @ top @ top.T
     r = e.T @ e / n
-    theta = np.sqrt(np.maximum((e**2).T @ (e**2) / n - r**2, 0))
-    cut = c * theta * (1 / np.sqrt(p) + np.sqrt(np.log(p) / n))
-    soft = np.sign(r) * np.maximum(np.abs(r) - cut, 0)
     if support is not None:
-        soft = np.where(support, soft, 0)
-    np.fill_diagonal(soft, np.diag(r))
-    return (top * value[p - k :]) @ top.T + soft
+        return common + from_corr(nearest_corr(to_corr(np.where(support | np.eye(p, dtype=bool), r, 0))), r)
+    width = np.sqrt(np.maximum((e**2).T @ (e**2) / n - r**2, 0)) * (1 / np.sqrt(p) + np.sqrt(np.log(p) / n))
+    np.fill_diagonal(width, 0)  # variances are never cut
+    for raised in range(raises):
+        out = common + np.sign(r) * np.maximum(np.abs(r) - c * 1.25**raised * width, 0)
+        if np.linalg.eigvalsh(out)[0] > 1e-12 * np.trace(out) / p:
+            break
+    return out
 
 
 @estimator
-def graphical_lasso(x: np.ndarray, penalty: float = 0.1, weights: np.ndarray | None = None, rounds: int = 200, tol: float = 1e-5) -> np.ndarray:
-    """Sparse inverse correlation by the alternating direction method, scaled back."""
+def graphical_lasso(x: np.ndarray, penalty: float = 0.1, weights: np.ndarray | None = None, rounds: int = 1000, tol: float = 1e-5) -> np.ndarray:
+    """Sparse inverse correlation by the alternating direction method, scaled back.
+
+    The step size follows whichever residual lags by a factor of ten; a warning tells if the rounds
+    end first.
+    """
     s = sample(x)
     r = to_corr(s)
     p = len(r)
@@ -236,8 +281,13 @@ def graphical_lasso(x: np.ndarray, penalty: float = 0.1, weights: np.ndarray | N
         theta = (vector * ((value + np.sqrt(value**2 + 4 * rho)) / (2 * rho))) @ vector.T
         before, z = z, np.sign(theta + u) * np.maximum(np.abs(theta + u) - lam / rho, 0)
         u += theta - z
-        if max(np.abs(theta - z).max(), np.abs(z - before).max()) < tol:
+        primal, dual = np.abs(theta - z).max(), rho * np.abs(z - before).max()
+        if max(primal, dual) < tol:
             break
+        scale = 2.0 if primal > 10 * dual else 0.5 if dual > 10 * primal else 1.0
+        rho, u = rho * scale, u / scale
+    else:
+        warnings.warn(f"graphical_lasso: residual {max(primal, dual):.1e} after {rounds} rounds", stacklevel=2)
     value, vector = np.linalg.eigh(theta)
     return from_corr((vector / np.maximum(value, 1e-10)) @ vector.T, s)
 

@@ -100,17 +100,29 @@ def backtest_trades(spark, d):
     return BT.hold(r, w, at)[1]
 
 
+#: largest graphs that one task takes, by nodes of a dense matrix and by links of a list
+MAX_NODES, MAX_LINKS = 20_000, 20_000_000
+
+
 def _matrix(spark, d):
-    """The undirected snapshot as a matrix of a few hundred nodes, through one grouped map."""
-    edges = G.snapshot(graph_events(spark, d), "2000-01-01", 365, directed=False)
+    """The undirected snapshot in one grouped map. A graph past ``MAX_LINKS`` is refused, not cut."""
+    edges = materialise(G.snapshot(graph_events(spark, d), "2000-01-01", 365, directed=False), "edges")
+    if edges.count() > MAX_LINKS:
+        raise ValueError(f"more than {MAX_LINKS} links; filter the snapshot by class, sector or weight")
     return edges.select(F.lit(0).alias("g"), "src", "dst", F.col("n_events").cast("double").alias("w"), "w_sum")
 
 
-def _dense(pdf, value):
+def _numbered(pdf):
     nodes = sorted({*pdf["src"], *pdf["dst"]})
     at = {n: k for k, n in enumerate(nodes)}
+    return nodes, pdf["src"].map(at).to_numpy(), pdf["dst"].map(at).to_numpy()
+
+
+def _dense(pdf, value):
+    nodes, i, j = _numbered(pdf)
+    if len(nodes) > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} nodes for a dense matrix; filter the snapshot")
     w = np.zeros((len(nodes), len(nodes)))
-    i, j = pdf["src"].map(at).to_numpy(), pdf["dst"].map(at).to_numpy()
     w[i, j] = w[j, i] = pdf[value].to_numpy()
     return nodes, w
 
@@ -118,8 +130,8 @@ def _dense(pdf, value):
 @catalog.add()
 def louvain(spark, d):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, w = _dense(pdf, "w")
-        return pd.DataFrame({"node": nodes, "community": N.louvain(w, 3)})
+        nodes, i, j = _numbered(pdf)
+        return pd.DataFrame({"node": nodes, "community": N.communities(i, j, pdf["w"].to_numpy(), len(nodes), 3)})
 
     return _matrix(spark, d).groupBy("g").applyInPandas(one, "node string, community long")
 
@@ -176,8 +188,10 @@ def block_bootstrap(spark, d):
 
 
 def _wide(spark, d):
-    pdf = _returns(spark, d).filter(F.col("ticker").isin("Brand#1", "Brand#2", "Brand#3", "Brand#4")).groupBy(F.date_trunc("week", "date").alias("week"), "ticker").agg(F.avg("ret").alias("r")).toPandas()
-    return pdf.pivot(index="week", columns="ticker", values="r").dropna()  # a few hundred weeks
+    """Weekly returns of all tickers, a row a week that any has; a missing one is the week's mean."""
+    pdf = _returns(spark, d).groupBy(F.date_trunc("week", "date").alias("week"), "ticker").agg(F.avg("ret").alias("r")).toPandas()
+    x = pdf.pivot(index="week", columns="ticker", values="r").sort_index().sort_index(axis=1)  # weeks by tickers
+    return x.apply(lambda row: row.fillna(row.mean()), axis=1)
 
 
 @catalog.add()
@@ -202,18 +216,34 @@ def compare_variance_ratio(spark, d):
 
 @catalog.add()
 def qap(spark, d):
-    """Correlation of two pair matrices under permutations of the nodes, a row a permutation."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, a = _dense(pdf, "w")
-        _, b = _dense(pdf, "w_sum")
-        i, j = np.triu_indices(len(a), 1)
-        out = []
-        for rep in range(100):
-            o = np.random.default_rng(rep).permutation(len(a)) if rep else np.arange(len(a))
-            out.append((rep, np.corrcoef(a[np.ix_(o, o)][i, j], b[i, j])[0, 1]))
-        return pd.DataFrame(out, columns=["rep", "corr"])
-
-    return _matrix(spark, d).groupBy("g").applyInPandas(one, "rep long, corr double")
+    """Correlation of two pair matrices under permutations of the nodes: a row a permutation, dealt over tasks.
+
+    Only linked pairs are walked; the sums over all pairs follow from theirs.
+    """
+    pdf = _matrix(spark, d).toPandas()  # at most ``MAX_LINKS`` rows, checked above
+    nodes, i, j = _numbered(pdf)
+    held = spark.sparkContext.broadcast((len(nodes), i, j, pdf["w"].to_numpy(), pdf["w_sum"].to_numpy()))
+
+    def draw(batches):
+        n, i, j, a, b = held.value
+        pairs = n * (n - 1) / 2
+        key = np.minimum(i, j) * n + np.maximum(i, j)
+        order = np.argsort(key)
+        key, b = key[order], b[order]
+        for part in batches:
+            out = []
+            for rep in part["rep"]:
+                o = np.random.default_rng(int(rep)).permutation(n) if rep else np.arange(n)
+                back = np.argsort(o)
+                own = np.minimum(back[i], back[j]) * n + np.maximum(back[i], back[j])
+                at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+                product = (a * np.where(key[at] == own, b[at], 0)).sum()
+                cov = product / pairs - a.sum() * b.sum() / pairs**2
+                spread = ((a**2).sum() / pairs - (a.sum() / pairs) ** 2) * ((b**2).sum() / pairs - (b.sum() / pairs) ** 2)
+                out.append((rep, cov / np.sqrt(spread)))
+            yield pd.DataFrame(out, columns=["rep", "corr"])
+
+    return spark.range(100, numPartitions=8).toDF("rep").mapInPandas(draw, "rep long, corr double")
 
 
 def _stream(spark, d, f):
