@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.scratch import materialise
+
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in a total order."""
@@ -19,6 +21,41 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return out.withColumnRenamed("_rank", rank) if rank else out.drop("_rank")
 
 
+def total_order(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with its rows' numbers from 1 in a total order, without one task holding them all.
+
+    Rows are dealt by range and sorted within their partitions; each partition then starts after
+    the counts of those before it. Rows that the order can't tell apart are numbered as they come.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = materialise(dealt.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.spark_partition_id().alias("_part"), at.alias("_at")), "ordered")
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(sizes), "_part").select("_row.*", (F.col("_before") + F.col("_at") + 1).alias(name))
+
+
+def with_ntile(df: DataFrame, order: Sequence[str], n: int, name: str) -> DataFrame:
+    """``df`` cut into n parts of nearly equal size in a total order, the larger ones first."""
+    ranked = total_order(df, order, "_place")
+    total = ranked.count()
+    small, more = divmod(total, n)
+    place = F.col("_place") - 1
+    late = F.lit(more) + F.floor((place - more * (small + 1)) / max(small, 1))
+    part = F.when(place < more * (small + 1), F.floor(place / (small + 1))).otherwise(late) + 1
+    return ranked.withColumn(name, part.cast("int")).drop("_place")
+
+
+def not_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is NOT IN ``other``, as SQL has it: none if ``other`` has a null key;
+    a null key of ``df`` stays only if ``other`` is empty."""
+    facts = other.agg(F.count("*").alias("_n"), F.count_if(F.col(key).isNull()).alias("_nulls"))  # one row
+    left = df.join(other.select(key).distinct(), key, "left_anti").crossJoin(F.broadcast(facts))
+    return left.filter((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull())).drop("_n", "_nulls")
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str | None, left_time: str, right_time: str, values: Sequence[str], strict: bool = True) -> DataFrame:
     """``left`` with the ``values`` of the latest row of ``right`` before (or, not strict, up to) its time.
 
@@ -74,6 +111,15 @@ def jaccard(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sides.agg((F.sum(F.col("_a") * F.col("_b")) / F.count("*")).alias("jaccard"))
 
 
+def balanced(df: DataFrame, key: str, weight: str, n: int, most: int = 1_000_000) -> DataFrame:
+    """(unit, worker): units dealt by ``greedy_bins`` on the driver, which takes ``most`` of them at most and
+    refuses more. The greedy order is one sequence, so it isn't distributed."""
+    if df.count() > most:
+        raise ValueError(f"more than {most} units; deal them by hash, or group them first")
+    bins = greedy_bins([tuple(r) for r in df.select(key, weight).collect()], n)
+    return df.sparkSession.createDataFrame(list(bins.items()), "unit string, worker int")
+
+
 def greedy_bins(items: list[tuple[str, int]], n: int) -> dict[str, int]:
     """Longest processing time: each item, largest first, to the least loaded of n bins."""
     import heapq

@@ -70,21 +70,31 @@ def quality_checks(spark, d):
     return C.checks(C.documents(raw), C.document_mentions(raw))
 
 
-_AGENTS = ["The Apple Inc", "apple inc", "Reuters", "advertising revenues", "investors", "Acme Corp.", "John Smith", "Goldman Sachs", "ProShares UltraPro Dow30", "Wall Street", "Realty Income Corp.", "analysts"]
+#: Agents and relations: a supplier or customer, made a company, a person, a fund or a source by its number,
+#: and an order's comment number turned into one of these words.
 _VERBS = ["affects", "appoints", "hires", "outperforms", "includes", "raises price target on", "acquires", "cuts rates", "pays dividend to", "partners with", "supplies", "competes with", "imposes tariffs on", "sues", "lends to", "boosts", "criticizes", "launches", "manages", "sits near"]
+_FORMS = ["{} Inc", "The {} Corp.", "John Smith", "Reuters", "{} revenues", "investors", "ProShares {}", "{} Holdings", "Wall Street", "the {} inc"]
 
 
-def _values(items, name):
-    return "(VALUES " + ", ".join("('{}')".format(x.replace("'", "''")) for x in items) + f") {name}(x)"
+def _form(number, name):
+    return F.element_at(F.array(*[F.concat(*[p for part in f.split("{}") for p in (name, F.lit(part))][1:]) for f in _FORMS]), (number % len(_FORMS) + 1).cast("int"))
 
 
-def _list(spark, items):
-    return spark.createDataFrame([(x,) for x in items], "x string")
+def _form_sql(number, name):
+    return "[" + ", ".join(f"replace('{f}', '{{}}', {name})" for f in _FORMS) + f"][CAST({number} % {len(_FORMS)} + 1 AS INT)]"
 
 
-def _relations(spark):
-    a, b, v = (F.broadcast(_list(spark, x)) for x in (_AGENTS, _AGENTS, _VERBS))  # constants
-    return a.toDF("a").crossJoin(b.toDF("b")).crossJoin(v.toDF("rt"))
+def _relations(spark, d):
+    """(a, b, rt, n): who does what to whom, from order lines; n lines say so."""
+    li = load(spark, d, "lineitem")
+    a = _form(F.col("l_suppkey"), F.concat(F.lit("Firm "), (F.col("l_suppkey") % 7).cast("string")))
+    b = _form(F.col("l_partkey"), F.concat(F.lit("Firm "), (F.col("l_partkey") % 7).cast("string")))
+    rt = F.element_at(F.array(*map(F.lit, _VERBS)), (F.col("l_orderkey") % len(_VERBS) + 1).cast("int"))
+    return li.groupBy(a.alias("a"), b.alias("b"), rt.alias("rt")).agg(F.count("*").alias("n"))
+
+
+_RELATIONS = f"""SELECT {_form_sql('l_suppkey', "'Firm ' || (l_suppkey % 7)")} AS a, {_form_sql('l_partkey', "'Firm ' || (l_partkey % 7)")} AS b,
+ [{", ".join("'" + v + "'" for v in _VERBS)}][CAST(l_orderkey % {len(_VERBS)} + 1 AS INT)] AS rt, count(*) AS n FROM lineitem GROUP BY 1, 2, 3"""
 
 
 def _q(s):
@@ -103,21 +113,22 @@ def _noise_sql():
  WHEN {has('trim(rt)', T.FUND_VERBS)} AND ({has('a', T.FUND)} OR {has('b', T.FUND)}) THEN 'membership' END"""
 
 
-@catalog.add(f"SELECT a, b, rt, {_noise_sql()} AS noise FROM (SELECT p.x AS a, q.x AS b, v.x AS rt FROM {_values(_AGENTS, 'p')}, {_values(_AGENTS, 'q')}, {_values(_VERBS, 'v')})")
+@catalog.add(f"SELECT a, b, rt, n, {_noise_sql()} AS noise FROM ({_RELATIONS})")
 def noise_flags(spark, d):
-    return _relations(spark).withColumn("noise", T.noise(F.col("a"), F.col("b"), F.col("rt")))
+    return _relations(spark, d).withColumn("noise", T.noise(F.col("a"), F.col("b"), F.col("rt")))
 
 
-@catalog.add(f"SELECT a, b, rt FROM (SELECT *, {_noise_sql()} AS noise FROM (SELECT p.x AS a, q.x AS b, v.x AS rt FROM {_values(_AGENTS, 'p')}, {_values(_AGENTS, 'q')}, {_values(_VERBS, 'v')})) WHERE noise IS NULL OR noise NOT IN ('self_loop', 'source', 'metric', 'generic')")
+@catalog.add(f"SELECT a, b, rt, n FROM (SELECT *, {_noise_sql()} AS noise FROM ({_RELATIONS})) WHERE noise IS NULL OR noise NOT IN ('self_loop', 'source', 'metric', 'generic')")
 def noise_filtered(spark, d):
     flagged = noise_flags(spark, d)
     return flagged.filter(F.col("noise").isNull() | ~F.col("noise").isin("self_loop", "source", "metric", "generic")).drop("noise")
 
 
-@catalog.add("SELECT x AS relation, CASE " + " ".join(f"WHEN regexp_matches(lower(x), {_q(rx)}) THEN '{c}'" for c, rx in T.REL_CLASSES) + f" ELSE 'other' END AS rel_class FROM {_values(_VERBS, 'v')}")
+@catalog.add("SELECT rel_class, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_pairs FROM (SELECT n, CASE " + " ".join(f"WHEN regexp_matches(lower(rt), {_q(rx)}) THEN '{c}'" for c, rx in T.REL_CLASSES) + f" ELSE 'other' END AS rel_class FROM ({_RELATIONS})) GROUP BY 1")
 def rel_class(spark, d):
-    v = _list(spark, _VERBS).toDF("relation").distinct()
-    return v.withColumn("rel_class", T.rel_class(F.col("relation")))
+    told = _relations(spark, d)
+    classes = told.select("rt").distinct().withColumn("rel_class", T.rel_class(F.col("rt")))  # distinct words only
+    return told.join(classes, "rt").groupBy("rel_class").agg(F.sum("n").alias("n"), F.count("*").alias("n_pairs"))
 
 
 _NAME = """regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(lower(raw), '\\(.*?\\)', ' ', 'g'), '[''’`]s\\b', '', 'g'), '&', ' and '), '.', ''), '[^a-z0-9]+', ' ', 'g')), '^(the )+(.)', '\\2'), '^the$', ''), '(.)( (%s))+$', '\\1')""" % "|".join(T.SUFFIXES)
@@ -199,9 +210,7 @@ def label_crosstab(spark, d):
 
 @catalog.add()
 def lpt_balance(spark, d):
-    items = [(r[0], r[1]) for r in load(spark, d, "supplier").select(F.col("s_name"), F.round(F.abs("s_acctbal")).cast("long")).collect()]
-    bins = R.greedy_bins(items, 4)
-    return spark.createDataFrame([(k, b) for k, b in bins.items()], "unit string, worker int")
+    return R.balanced(load(spark, d, "supplier").select("s_name", F.round(F.abs("s_acctbal")).cast("long").alias("w")), "s_name", "w", 4)
 
 
 @catalog.add(sql("ge", "SELECT node, n_events, degree FROM (SELECT node, count(*) AS n_events, count(DISTINCT other) AS degree FROM (SELECT src AS node, dst AS other FROM ge WHERE sign < 0 UNION ALL SELECT dst, src FROM ge WHERE sign < 0) GROUP BY 1)"))

@@ -162,13 +162,20 @@ def node_mentions(spark, d):
     return G.both_directions(graph_events(spark, d)).groupBy("node").agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
-@catalog.add("SELECT a.label AS i, b.label AS j, round(avg(list_cosine_similarity(a.embedding, b.embedding)), 5) AS cosine, count(*) AS n FROM (SELECT * FROM embeddings WHERE vec_id < 200) a JOIN (SELECT * FROM embeddings WHERE vec_id < 200) b ON a.vec_id < b.vec_id GROUP BY 1, 2")
+@catalog.add("SELECT least(a.label, b.label) AS i, greatest(a.label, b.label) AS j, round(avg(list_cosine_similarity(a.embedding, b.embedding)), 5) AS cosine, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id GROUP BY 1, 2")
 def embedding_cosine(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id < 200").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    unit = e.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    a, b = unit.toDF("ia", "i", "va", "na"), unit.toDF("ib", "j", "vb", "nb")
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(F.broadcast(b), F.col("ia") < F.col("ib")).groupBy("i", "j").agg(F.round(F.avg(dot / (F.col("na") * F.col("nb"))), 5).alias("cosine"), F.count("*").alias("n"))
+    """Mean cosine of all pairs by labels: a product of sums of unit vectors, so no pairs are made."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = e.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).filter("norm > 0")
+    n = e.groupBy("label").agg(F.count("*").alias("n"))
+    sums = e.select("label", "norm", F.posexplode("v").alias("at", "x")).groupBy("label", "at").agg(F.sum(F.col("x") / F.col("norm")).alias("s"))
+    a, b = sums.toDF("i", "at", "si"), sums.toDF("j", "at", "sj")
+    dot = a.join(b, "at").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("si") * F.col("sj")).alias("dot"))  # a row a pair of labels
+    both = dot.join(n.toDF("i", "ni"), "i").join(n.toDF("j", "nj"), "j")
+    same = F.col("i") == F.col("j")
+    pairs = F.when(same, F.col("ni") * (F.col("ni") - 1) / 2).otherwise(F.col("ni") * F.col("nj")).cast("long")
+    total = F.when(same, (F.col("dot") - F.col("ni")) / 2).otherwise(F.col("dot"))
+    return both.select("i", "j", F.round(total / pairs, 5).alias("cosine"), pairs.alias("n")).filter("n > 0")
 
 
 @catalog.add()

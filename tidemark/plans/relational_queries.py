@@ -46,14 +46,14 @@ def semi_join_dedup(spark, d):
 @catalog.add("SELECT DISTINCT l_suppkey FROM lineitem WHERE year(l_shipdate) = 1996 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE year(l_shipdate) = 1995)")
 def not_in_seen(spark, d):
     li = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.year("l_shipdate").alias("y"))
-    return li.filter("y = 1996").join(li.filter("y = 1995"), "l_orderkey", "left_anti").select("l_suppkey").distinct()
+    return R.not_in(li.filter("y = 1996"), li.filter("y = 1995"), "l_orderkey").select("l_suppkey").distinct()
 
 
-@catalog.add("SELECT l_orderkey, l_partkey, l_suppkey, l_shipdate, count(*) OVER w AS n, (SELECT count(DISTINCT b.l_suppkey) FROM lineitem b WHERE b.l_orderkey = a.l_orderkey) AS n_symbols FROM lineitem a WHERE l_orderkey < 500 WINDOW w AS (PARTITION BY l_orderkey)")
+@catalog.add("SELECT l_orderkey, l_partkey, l_suppkey, l_shipdate, n, n_symbols FROM lineitem JOIN (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS n_symbols FROM lineitem GROUP BY 1) USING (l_orderkey)")
 def count_distinct_over(spark, d):
-    w = W.partitionBy("l_orderkey")
-    li = load(spark, d, "lineitem").filter("l_orderkey < 500")
-    return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", F.count("*").over(w).alias("n"), F.size(F.collect_set("l_suppkey").over(w)).cast("long").alias("n_symbols"))
+    li = load(spark, d, "lineitem")
+    per = li.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("n_symbols"))
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate").join(per, "l_orderkey")
 
 
 _DEDUP = "SELECT l_orderkey, l_partkey, l_suppkey, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {o}) AS k FROM lineitem) WHERE k = 1"
@@ -78,7 +78,7 @@ def top_k_per_group(spark, d):
 
 @catalog.add("SELECT q, o_orderkey, k FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY md5(CAST(o_orderkey AS VARCHAR))) AS k FROM (SELECT *, ntile(4) OVER (ORDER BY o_totalprice, o_orderkey) AS q FROM orders)) WHERE k <= 20")
 def ntile_strata(spark, d):
-    o = load(spark, d, "orders").withColumn("q", F.ntile(4).over(W.orderBy("o_totalprice", "o_orderkey")))
+    o = R.with_ntile(load(spark, d, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], 4, "q")
     return R.top_k(o, ["q"], [F.md5(F.col("o_orderkey").cast("string"))], 20, "k").select("q", "o_orderkey", "k")
 
 
@@ -89,10 +89,10 @@ def stratified_sample(spark, d):
     return R.top_k(own, ["rel_class"], order, 10, "k").select(F.col("rel_class").alias("cls"), "doc_id", "k")
 
 
-@catalog.add(sql("ge", "SELECT event_id, src, dst, dt, doc_id, rel_class FROM (SELECT *, row_number() OVER (ORDER BY dt, src, dst, rel_class, doc_id, strength, sign) AS event_id FROM ge) WHERE event_id <= 5000"))
+@catalog.add(sql("ge", "SELECT event_id, src, dst, dt, doc_id, rel_class FROM (SELECT *, row_number() OVER (ORDER BY dt, src, dst, rel_class, doc_id, strength, sign) AS event_id FROM ge)"))
 def event_id_total_order(spark, d):
-    w = W.orderBy("dt", "src", "dst", "rel_class", "doc_id", "strength", "sign")
-    return graph_events(spark, d).withColumn("event_id", F.row_number().over(w)).filter("event_id <= 5000").select("event_id", "src", "dst", "dt", "doc_id", "rel_class")
+    order = ["dt", "src", "dst", "rel_class", "doc_id", "strength", "sign"]
+    return R.total_order(graph_events(spark, d).select(order), order, "event_id").select("event_id", "src", "dst", "dt", "doc_id", "rel_class")
 
 
 @catalog.add("SELECT l_returnflag, l_linestatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lineitem GROUP BY 1, 2")
@@ -128,12 +128,11 @@ def underwater_run(spark, d):
     return R.longest_run(load(spark, d, "events"), "user_id", "event_id", F.col("value") > 20)
 
 
-@catalog.add("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS last_purchase, first_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_purchase FROM events WHERE user_id < 40")
+@catalog.add("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS last_purchase, first_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_purchase FROM events")
 def ffill_bfill(spark, d):
     v = F.when(F.col("event_type") == "purchase", F.col("value"))
     w = W.partitionBy("user_id").orderBy("event_id")
-    own = load(spark, d, "events").filter("user_id < 40")
-    return own.select("user_id", "event_id", F.last(v, ignorenulls=True).over(w).alias("last_purchase"), F.first(v, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)).alias("next_purchase"))
+    return load(spark, d, "events").select("user_id", "event_id", F.last(v, ignorenulls=True).over(w).alias("last_purchase"), F.first(v, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)).alias("next_purchase"))
 
 
 _CHANGES = "SELECT o_custkey, CAST(o_orderdate AS DATE) AS od, max(o_orderkey) AS v FROM orders GROUP BY 1, 2"

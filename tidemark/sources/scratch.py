@@ -12,9 +12,11 @@ KEY = "spark.checkpoint.dir"
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where none is set."""
+    """The folder that all executors share; on one machine, where none is set, a temporary one."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(KEY, found)
     return found.rstrip("/")
