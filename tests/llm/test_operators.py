@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -413,6 +415,47 @@ def test_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_against_their_article(spark, folder):
+    """The synthetic pages mark their main text by one <article>, whose blocks are cut out plainly here."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html or "", re.S)
+        parts = re.split(r"</?(?:p|h1)>", re.sub("</?b>", "", inner[1].replace("<br>", " "))) if inner else []
+        parts = [" ".join(html.unescape(p).split()) for p in parts]
+        assert got[r.page_id] == "\n".join(p for p in parts if p)
+
+
+@pytest.mark.parametrize("page", ["<div " * 200_000 + '"', "<a href='" * 100_000, "<button>" * 60_000, "<" * 300_000, "<div>" * 50_000 + "</section>" * 50_000, "<!--" * 200_000, "</é" * 100_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 3
+
+
+def test_scripts_and_open_links():
+    page = "<article><p>Main text of this page, long enough to be kept by all means.<script src=/a.js/>var leaked=1;</script><style />p{}</style> Tail</p></article>"
+    assert html_text.main_text(page) == "Main text of this page, long enough to be kept by all means. Tail"
+    page = "<article><p>One two three four five.</p><p><a href='x'>a link without an end</p><p>More text of this article that must stay, of course.</p></article>"
+    assert html_text.main_text(page).endswith("More text of this article that must stay, of course.")
+    assert html_text.main_text('<article><p title="x>One two three</p><p>Four five six</p></article>') == "One two three\nFour five six"
+
+
+def test_furniture_goes_wherever_it_stands():
+    long = " ".join(f"word{i}" for i in range(28))
+    for n in (1, 3, 5, 8, 20, 30, 60):
+        some = " ".join(["buy"] * n)
+        for box in ('<div class="ad">%s</div>', "<aside>%s</aside>", '<div id="comments"><p>%s</p></div>', "<form>%s</form>", '<div class="cookie-notice">%s</div>', "<footer>%s</footer>"):
+            page = f"<body><article><h1>On a hill</h1><p>{long}</p>{box % some}<p>{long}</p></article></body>"
+            assert html_text.main_text(page) == f"On a hill\n{long}\n{long}"
+
+
+def test_left_out_pages():
+    """Word counts and link densities alone tell most blocks; tags and hints tell the rest."""
+    assert html_text.left_out_accuracy() >= 0.85 and html_text.left_out_accuracy(("zone", "heading", "item")) >= 0.7
+    assert html_text.left_out_accuracy(("words", "links", "words_before", "links_before", "words_after", "links_after")) < html_text.left_out_accuracy()
+
+
 def test_labelled_table_is_learnt():
     for page in html_text.LABELLED:
         found = html_text.blocks(page)
