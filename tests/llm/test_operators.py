@@ -310,9 +310,32 @@ def test_forest_recall():
     rng = np.random.default_rng(11)
     x = rng.normal(size=(8000, 32))
     q = rng.normal(size=(40, 32))
-    lo, hi = (f := ann.Forest(x)).ranges(q, ann.CANDIDATES)
-    found = [np.isin(np.argsort(-(x @ v))[:20], f.candidates(lo[i], hi[i])).mean() for i, v in enumerate(q)]
-    assert np.mean(found) >= 0.9
+    f = ann.Forest(x)
+    entries, votes = f.settle(x, rng.normal(size=(60, 32)), 20)
+    lo, hi = f.ranges(q, entries)
+    near = [f.candidates(lo[i], hi[i], votes, 21) for i in range(len(q))]
+    found = [np.isin(np.argsort(-(x @ v))[:20], own).mean() for v, own in zip(q, near)]
+    assert np.mean(found) >= 0.9 and np.mean([len(own) for own in near]) < 0.2 * len(x)
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_recall_on_embeddings(spark, folder, monkeypatch, blocks):
+    """Recall on the whole table, in one block and in several, and the share of rows that is scored."""
+    table = spark.read.parquet(f"{folder}/../sf0.1/embeddings.parquet")
+    pdf = table.toPandas().sort_values("vec_id")
+    x, ids = np.array(pdf.embedding.tolist(), float), pdf.vec_id.to_numpy()
+    monkeypatch.setattr(ann, "BLOCK_ROWS", -(-len(x) // blocks))
+    got = ann.search(table).toPandas().groupby("query_id").vec_id.agg(set)
+    asked, hits = ids[ids % 20 == 0], 0
+    for q in asked:
+        score = x @ x[ids == q][0]
+        want = [i for i in ids[np.lexsort((ids, -score))] if i != q][:20]
+        hits += len(set(want) & got[q])
+    assert set(got.index) == set(asked) and hits >= 0.9 * 20 * len(asked)
+    f = ann.Forest(x)
+    entries, votes = f.settle(x, x[ids % 20 == 0], 20)
+    lo, hi = f.ranges(x[ids % 20 == 0], entries)
+    assert np.mean([len(f.candidates(lo[i], hi[i], votes, 21)) for i in range(len(asked))]) < 0.35 * len(x)
 
 
 @pytest.mark.parametrize("kind", ["gaussian", "skewed", "one long"])
@@ -327,7 +350,7 @@ def test_recall_of_a_full_block(kind):
     asked = rng.choice(len(x), 60, replace=False)
     ids = np.concatenate([np.arange(len(x)), asked])
     table = ann.pa.table({"vector": [v.tobytes() for v in x] + [x[i].tobytes() for i in asked], "id": ids, "query": np.arange(len(ids)) >= len(x)})
-    out = ann._search(20, ann.CANDIDATES)(table).to_pandas()
+    out = ann._search(20)(table).to_pandas()
     hits = 0
     for q in asked:
         want = [i for i in np.argsort(-(x @ x[q]))[:21] if i != q][:20]

@@ -2,13 +2,13 @@
 
 Each tree gives a vector a long hash string, one bit a random hyperplane, and keeps its strings
 in a sorted array. A search descends every tree to its longest prefix match and then ascends all
-trees at once, one bit at a time, until together they hold enough candidates; those are scored
-exactly. Vectors of unequal norm get one more component so that all have the norm of the longest,
-which makes the largest inner product the smallest angle.
+trees at once, one bit at a time, until together they hold enough entries. Rows that enough trees
+have met are candidates and are scored exactly. Vectors of unequal norm get one more component so
+that all have the norm of the longest, which makes the largest inner product the smallest angle.
 
-How many candidates a block needs depends on its vectors, and is more where norms differ. So each block is first searched for some of its queries,
-whose nearest are also found by brute force, and the number grows until enough of those are met;
-at its largest it takes all rows.
+How many trees must meet a row depends on the vectors of a block. So for some of a block's queries
+the nearest are also found by brute force: the number is the largest with which RECALL of them are
+met, and if a single tree does not meet them, the search ascends further, at last to all rows.
 
 Rows are dealt at random into blocks of bounded size, each with a forest of its own, and the
 stated queries go to every block. Equal vectors are one entry with their smallest ids, as many as
@@ -21,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from . import store
+from . import buffers as B, store
 
-TREES = 64
+TREES = 128
 BITS = 24
-CANDIDATES = 6_000
+#: entries of all trees to ascend to, as a multiple of the block's rows
+ENTRIES = 6
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 4_096
+QUERY_ROWS = 16_384
 #: queries of a block that are also answered by brute force, and the share of their nearest to meet
 HELD = 128
 RECALL = 0.95
@@ -45,13 +47,16 @@ class Forest:
         self.trees, self.bits = trees, bits
         self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, trees * bits))
         codes = self.codes(np.column_stack([vectors, rest]))
-        self.order = np.argsort(codes, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(codes, self.order, axis=0)
+        self.order = np.empty((trees, len(vectors)), np.int32)
+        self.sorted = np.empty((trees, len(vectors)), np.int32)
+        for t in range(trees):
+            self.order[t] = np.argsort(codes[:, t], kind="stable")
+            self.sorted[t] = codes[self.order[t], t]
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """(rows, trees) hash strings as integers, the first bit highest."""
         weight = 1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64)
-        out = np.empty((len(vectors), self.trees), np.int64)
+        out = np.empty((len(vectors), self.trees), np.int32)
         for i in range(0, len(vectors), 2048):
             signs = (vectors[i : i + 2048] @ self.planes > 0).reshape(-1, self.trees, self.bits)
             out[i : i + 2048] = signs @ weight
@@ -66,47 +71,55 @@ class Forest:
             shift = self.bits - level
             for t in range(self.trees):
                 own = codes[live, t] >> shift << shift
-                lo[live, t] = np.searchsorted(self.sorted[:, t], own)
-                hi[live, t] = np.searchsorted(self.sorted[:, t], own + (1 << shift))
+                lo[live, t] = np.searchsorted(self.sorted[t], own)
+                hi[live, t] = np.searchsorted(self.sorted[t], own + np.int32(1 << shift))
             live = live[(hi[live] - lo[live]).sum(axis=1) < enough]
             if not len(live):
                 break
         return lo, hi
 
-    def candidates(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        mark = np.zeros(len(self.order), bool)
-        for t in range(self.trees):
-            mark[self.order[lo[t] : hi[t], t]] = True
-        return np.flatnonzero(mark)
+    def votes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For each row the trees in whose range it lies."""
+        return np.bincount(np.concatenate([self.order[t, lo[t] : hi[t]] for t in range(self.trees)]), minlength=self.order.shape[1])
 
+    def candidates(self, lo: np.ndarray, hi: np.ndarray, votes: int, least: int) -> np.ndarray:
+        """The rows that ``votes`` trees have met, or the ``least`` rows that most trees have met."""
+        met = self.votes(lo, hi)
+        if (met >= votes).sum() < least:
+            votes = int(np.partition(met, -least)[-least]) if least <= len(met) else 0
+        return np.flatnonzero(met >= votes)
 
-    def enough(self, data: np.ndarray, queries: np.ndarray, k: int, least: int) -> int:
-        """Range entries, ``least`` or more, with which ``queries`` meet RECALL of their ``k`` nearest other vectors."""
+    def settle(self, data: np.ndarray, queries: np.ndarray, k: int) -> tuple[int, int]:
+        """(entries to ascend to, trees that must meet a row) with which ``queries`` meet RECALL of their ``k``
+        nearest other vectors."""
         nearest = []
         for q in queries:
             score = data @ q
             top = np.argpartition(-score, min(k, len(score) - 1))[: k + 1]
             top = top[np.argsort(-score[top], kind="stable")]
             nearest.append(top[(data[top] != q).any(axis=1)][:k])
-        n = least
-        while n < self.trees * len(data):
+        n = ENTRIES * len(data)
+        while True:
             lo, hi = self.ranges(queries, n)
-            met = [np.isin(own, self.candidates(lo[i], hi[i])).sum() for i, own in enumerate(nearest)]
-            if sum(met) >= RECALL * sum(map(len, nearest)):
-                break
-            n += -(-n // 2)
-        return n
-
-
-def _valid(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    rows, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            x = np.array(v, np.float64)
-            if np.isfinite(x).all() and x.any():
-                rows.append(i)
-                out.append(x + 0.0)
-    return np.array(rows, np.int64), out
+            met = np.sort(np.concatenate([self.votes(lo[i], hi[i])[own] for i, own in enumerate(nearest)]))
+            votes = int(met[int((1 - RECALL) * len(met))]) if len(met) else 1
+            if votes or n >= self.trees * len(data):
+                return n, votes
+            n *= 2
+
+
+def _valid(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(rows, their vectors as bytes of doubles) of the vectors that take part; -0.0 is 0.0."""
+    column = pc.cast(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, pa.large_list(pa.float64()))
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    values = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+    owner = np.repeat(np.arange(len(size)), size)
+    bad = np.bincount(owner, ~np.isfinite(values), len(size)) > 0
+    ok = ~bad & (np.bincount(owner, values != 0, len(size)) > 0)
+    kept = np.ascontiguousarray(values[ok[owner]])
+    offsets = np.concatenate([[0], np.cumsum(8 * size[ok])]).astype(np.int64)
+    vectors = pa.Array.from_buffers(pa.large_binary(), int(ok.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return np.flatnonzero(ok), vectors.cast(pa.binary())
 
 
 def _groups(k: int):
@@ -124,12 +137,12 @@ def _groups(k: int):
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.int64())], ["vector", "vec_id"])
 
         for b in batches:
+            B.lean()
             rows, vectors = _valid(b.column(1))
-            ids = b.column(0).to_pylist()
-            for r, x in zip(rows.tolist(), vectors):
-                if ids[r] is not None:
-                    own = held.setdefault(x.tobytes(), [])
-                    own.append(ids[r])
+            for i, x in zip(b.column(0).take(pa.array(rows)).to_pylist(), vectors.to_pylist()):
+                if i is not None:
+                    own = held.setdefault(x, [])
+                    own.append(i)
                     if len(own) > 2 * k + 2:
                         own[:] = sorted(set(own))[: k + 1]
             if len(held) > 50_000:
@@ -143,13 +156,14 @@ def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, vector) to (vector bytes, id) of the valid ones."""
     for b in batches:
         rows, vectors = _valid(b.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in vectors], pa.binary()), b.column(0).take(pa.array(rows))], ["vector", "vec_id"])
+        yield pa.RecordBatch.from_arrays([vectors, b.column(0).take(pa.array(rows))], ["vector", "vec_id"])
 
 
-def _search(k: int, candidates: int):
+def _search(k: int):
     """applyInArrow function over one (block, query part): the k + 1 best entries of each query."""
 
     def run(t: pa.Table) -> pa.Table:
+        B.lean()
         vector = t.column("vector").to_pylist()
         ids = t.column("id").to_numpy()
         query = t.column("query").to_numpy(zero_copy_only=False)
@@ -166,9 +180,10 @@ def _search(k: int, candidates: int):
             if forest:
                 held = np.random.default_rng(7).permutation(len(q))[:HELD]
                 held = np.argsort(ids[q], kind="stable")[held]
-                lo, hi = forest.ranges(asked, forest.enough(data, asked[held], k, candidates))
+                entries, votes = forest.settle(data, asked[held], k)
+                lo, hi = forest.ranges(asked, entries)
             for i in range(len(q)):
-                near = forest.candidates(lo[i], hi[i]) if forest else np.arange(len(x))
+                near = forest.candidates(lo[i], hi[i], votes, k + 1) if forest else np.arange(len(x))
                 rough = data[near] @ asked[i]
                 if len(near) > k + 1:
                     limit = np.partition(rough, len(near) - k - 1)[len(near) - k - 1]
@@ -182,10 +197,9 @@ def _search(k: int, candidates: int):
     return run
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int = CANDIDATES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible
-    by ``every``, itself excluded, by largest inner product, then smallest id. Each block looks at
-    ``candidates`` range entries or more, as its measured recall needs.
+    by ``every``, itself excluded, by largest inner product, then smallest id.
 
     Null, empty and zero vectors and those with null or non-finite components take no part, nor do
     rows without an id. A repeated row (same id and vector) counts once. Vectors are only compared
@@ -196,6 +210,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int = C
     some = source.mapInArrow(_groups(k), "vector binary, vec_id long").distinct()
     ranked = some.withColumn("place", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
     members = ranked.withColumn("entry", F.first("vec_id").over(W.partitionBy("vector").orderBy("vec_id")))
+    store.small_batches(spark)
     members = store.materialise(members.select("vector", "vec_id", "entry", "place"), "members")
     entries = members.filter("place = 1")
     blocks = max(1, -(-entries.count() // BLOCK_ROWS))
@@ -206,7 +221,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int = C
     ask = asked.select("vector", F.col("vec_id").alias("id"), F.lit(True).alias("query"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
     ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cols = ["vector", "id", "query", "block", "part"]
-    found = index.select(cols).unionByName(ask.select(cols)).groupBy("block", "part").applyInArrow(_search(k, candidates), "query_id long, entry long, score double")
+    found = index.select(cols).unionByName(ask.select(cols)).groupBy("block", "part").applyInArrow(_search(k), "query_id long, entry long, score double")
     best = found.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "entry"))).filter(F.col("place") <= k + 1).drop("place")
     every_id = best.join(members.select("entry", "vec_id"), "entry").filter("vec_id <> query_id").distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
