@@ -370,10 +370,11 @@ def test_leaks(spark, edge, empty):
     changed = [w if k % 7 else "other" for k, w in enumerate(passage)]
     docs = [(0, text(rng, 80)), (1, text(rng, 20) + " " + items[2][1].upper() + ", " + text(rng, 9)), (2, text(rng, 9) + " " + " ".join(changed) + " " + text(rng, 5)), (3, " ".join(passage[:16])), (4, " ".join(passage[:8])), (5, "Just four, plain words."), (6, None), (7, "solo")]
     df = spark.createDataFrame(docs, DOCS).withColumn("item_id", F.lit(1))
-    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(df, bench).collect()}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()} == {(1, 2), (2, 3), (3, 3)}  # short items are not looked for
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(df, bench, least_item=1).collect()}
     assert set(got) == {(1, 2), (2, 3), (3, 3), (5, 52), (7, 53)}
     assert got[1, 2].n_matched == 30 and got[1, 2].doc_start == 20 and got[3, 3].n_matched == 16
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, block_words=100).collect()} == set(got)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, block_words=100, least_item=1).collect()} == set(got)
     assert {r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()} == {0, 4, 6}
     assert decontaminate.find_leaks(edge, bench).count() == 0 and decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.drop_leaks(edge, bench.limit(0)).count() == len(EDGE)
@@ -386,6 +387,71 @@ def brute_overlap(same):
     return max(found, default=(0, 0, 0))
 
 
+def test_long_hosts_and_clashing_columns(spark):
+    host = ".".join(["a"] * 6000) + ".net"
+    rows = [(1, f"http://{host}/fr/x"), (1, f"http://{host}/fr/x"), (None, "http://WWW.example.com/en/1"), (2, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(c) for c in ("host", "path", "keys", "names", "side", "place")})
+    got = sorted(((r.page_id or 0, r.rule, r.verdict) for r in url_filter.judge(df, URL_RULES, segments=2).collect()), key=repr)
+    assert got == sorted([(1, "net/fr/", "block")] * 2 + [(0, "www.example.com/en/", "allow"), (2, None, "allow")], key=repr)
+
+
+def brute_leaks(texts, items):
+    """Every diagonal that a mask fits, every stretch of it."""
+    words = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    rows = []
+    for doc, text in texts:
+        for item, body in items:
+            t, w, best = words(text), words(body), None
+            masks = decontaminate.MASKS if len(w) >= 10 else [m for m in decontaminate.MASKS if len(m) <= len(w)] + ["1" * len(w)]
+            for start in range(-len(w) + 1, len(t)) if len(w) >= 5 else ():
+                lo, hi = max(0, -start), min(len(w), len(t) - start)
+                same = [w[i] == t[start + i] for i in range(lo, hi)]
+                if not any(all(same[p + j] for j, b in enumerate(m) if b == "1") for m in masks for p in range(len(same) - len(m) + 1)):
+                    continue
+                for a in range(len(same)):
+                    for b in range(a + 1, len(same) + 1):
+                        n = sum(same[a:b])
+                        if 5 * n >= 4 * (b - a):
+                            best = max(best or (0, 0, 0), (n, a - b, -(start + lo + a)))
+            if best and best[0] >= min(13, len(w)):
+                rows.append((doc, item, best[0], -best[1], len(w), -best[2]))
+    return sorted(rows)
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(21)
+    items = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(n))) for i, n in enumerate([1, 4, 5, 7, 9, 13, 20, 30])]
+    texts = []
+    for d in range(40):
+        own = items[rng.randrange(len(items))][1].split()
+        own = own[rng.randrange(max(len(own) - 13, 1)) :]
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = "changed"
+        fill = lambda: [rng.choice(WORDS) for _ in range(rng.randrange(12))]
+        texts.append((d, " ".join(fill() + own + fill() + (own if d % 5 == 0 else []))))  # ties: the first of two
+    texts += [(3, texts[3][1]), (50, None), (51, ""), (52, "-".join(items[6][1].upper().split()))]
+    got = decontaminate.find_leaks(spark.createDataFrame(texts, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((r.doc_id, r.item_id, r.n_matched, r.n_overlap, r.item_words, r.doc_start) for r in got.collect())
+    assert got == brute_leaks(texts, items) and len(got) > 10
+
+
+def test_hits_come_in_slices(monkeypatch):
+    block = decontaminate.Items([1, 2], ["a b c d e f g h i j k l m n"] * 2)
+    words = next(decontaminate.text_words(decontaminate.pa.array(["x a b c d e f g h i j k l m n y"])))[1]
+    whole = {tuple(x) for part in block.hits(words) for x in part.tolist()}
+    monkeypatch.setattr(decontaminate, "HITS", 2)
+    parts = list(block.hits(words))
+    assert len(parts) > 5 and {tuple(x) for part in parts for x in part.tolist()} == whole == {(0, 1), (1, 1)}
+
+
+def test_benchmark_in_blocks(spark):
+    text = ",".join(f"w{i}" for i in range(40))  # no blanks: words are counted as they are cut
+    bench = spark.createDataFrame([(i, text + f",x{i}") for i in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text.replace(",", " "))], DOCS)
+    assert decontaminate.find_leaks(docs, bench, block_words=50).count() == 6
+    assert decontaminate.drop_leaks(docs.withColumn("item_id", F.lit(0)), bench).count() == 0
+
+
 def test_overlap_is_the_best_stretch():
     rng = random.Random(21)
     for k in range(150):

@@ -6,8 +6,9 @@ windows of the benchmark items are joined with those of the training texts; each
 diagonal, on which the item is laid over the text and the overlap around the hit is verified word
 by word, substitutions allowed.
 
-The benchmark's hashes go to every worker only in blocks of at most ``block_words`` words; a
-larger benchmark takes as many passes as it has blocks.
+The benchmark's hashes go to every worker in blocks of about ``block_words`` words (an item is
+never split, so the longest item is the other bound); a larger benchmark takes as many passes as
+it has blocks.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from . import buffers as B
+from . import buffers as B, store
 
 MASKS = ("1101011001", "111001011", "1111011")
 MIN_WORDS = 13
+#: items of fewer words can't be told from common phrases and are not looked for
+LEAST_ITEM = 5
+#: seed hits that are spread out at once
+HITS = 500_000
 TOLERANCE = 0.8
 #: a stretch matches well enough if these, summed over its words, are not negative
 _SHARE = Fraction(TOLERANCE).limit_denominator(100)
@@ -56,11 +61,11 @@ def masked(hashes: np.ndarray, mask: str) -> np.ndarray:
 class Items:
     """The seeds of a block of benchmark items."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], least: int = LEAST_ITEM):
         self.ids, self.words = [], []
         for i, hashes, first in text_words(pa.array(texts, pa.string())):
             for r, (a, b) in enumerate(zip(first[:-1], first[1:])):
-                if b > a:
+                if b - a >= max(least, 1):
                     self.ids.append(ids[i + r])
                     self.words.append(hashes[a:b])
         #: an item too short for a mask is looked for whole
@@ -73,17 +78,18 @@ class Items:
                 order = np.argsort(key, kind="stable")
                 self.seeds.append((mask, key[order], item[order], at[order]))
 
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, position of the item's first word in ``words``) of all seeds' hits."""
-        found = []
+    def hits(self, words: np.ndarray) -> Iterator[np.ndarray]:
+        """(item, position of the item's first word in ``words``) of all seeds' hits, distinct within a slice
+        of about ``HITS`` of them."""
         for mask, key, item, at in self.seeds:
             own = masked(words, mask)
             lo = np.searchsorted(key, own)
             pos = np.flatnonzero(key[np.minimum(lo, len(key) - 1)] == own)
-            n = np.searchsorted(key, own[pos], side="right") - lo[pos]
-            k = np.repeat(lo[pos], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([item[k], np.repeat(pos, n) - at[k]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            times = np.searchsorted(key, own[pos], side="right") - lo[pos]
+            cuts = np.flatnonzero(np.diff(np.cumsum(times) // HITS)) + 1
+            for p, n in zip(np.split(pos, cuts), np.split(times, cuts)):
+                k = np.repeat(lo[p], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield np.unique(np.stack([item[k], np.repeat(p, n) - at[k]], axis=1), axis=0)
 
     def overlap(self, text: np.ndarray, item: int, start: int) -> tuple[int, int, int]:
         """(matched, length, position in the text) of the best overlap on one diagonal.
@@ -119,7 +125,11 @@ def _find(items, min_words: int):
             docs = b.column(0).to_pylist()
             for i, hashes, first in text_words(b.column(1)):
                 best: dict[tuple[int, int], tuple] = {}
-                for item, at in block.hits(hashes).tolist():
+                seen: set[tuple[int, int]] = set()
+                for item, at in (tuple(x) for part in block.hits(hashes) for x in part.tolist()):
+                    if (item, at) in seen:
+                        continue
+                    seen.add((item, at))
                     # the diagonal may begin before its text does, so its text is that of its seed
                     lo, hi = np.searchsorted(first, [max(at, 0), at + len(block.words[item]) - 1], side="right") - 1
                     for r in range(int(lo), min(int(hi), len(first) - 2) + 1):
@@ -139,30 +149,37 @@ def _find(items, min_words: int):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, least_item: int = LEAST_ITEM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_matched, n_overlap, item_words, doc_start), one row for each text and
     item that overlap in at least ``min_words`` equal words (all words of a shorter item), on a
-    stretch of which at least four fifths are equal.
+    stretch of which at least four fifths are equal. Items of fewer than ``least_item`` words, which
+    any text may hold by chance, overlap with nothing.
 
     Null and empty texts and items overlap with nothing. Of several overlaps of a pair that with
     most equal words is given, then the shortest, then the first. Repeated rows of ``docs`` each
     give their rows; repeated items too. Empty tables give no rows; other columns play no part.
     """
     spark = docs.sparkSession
+    store.small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = bench.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    words = F.size(F.filter(F.split("text", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), lambda w: w != ""))
+    total = bench.agg(F.sum(words)).first()[0] or 0
     n = -(-total // block_words) or 1
     out = None
     for i in range(n):
         part = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()  # at most about ``block_words`` words
-        items = spark.sparkContext.broadcast(Items([r[0] for r in part], [r[1] for r in part]))
+        items = spark.sparkContext.broadcast(Items([r[0] for r in part], [r[1] for r in part], least_item))
         got = source.mapInArrow(_find(items, min_words), _HITS)
         out = got if out is None else out.unionByName(got)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """``docs`` without the rows that overlap with a benchmark item; all columns are kept."""
+    """``docs`` without the rows whose id overlaps with a benchmark item; all columns are kept.
+
+    Rows of one id go together: where one of them holds an item, none can be trusted. Rows without
+    an id count as of one id, so give ids first.
+    """
     bad = find_leaks(docs, benchmark, id_col=id_col, **more).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__leak"], "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["__leak"]), "left_anti")

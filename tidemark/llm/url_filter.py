@@ -139,11 +139,12 @@ def passing(level: Bloom):
     return run
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """The keys of a url, the longest first: host suffixes with beginnings of the path."""
+def candidates(host: Column, path: Column, lengths: list[int], most: int) -> Column:
+    """The keys of a url, the longest first: host suffixes of ``most`` labels at most, which is as many as any
+    rule has, with beginnings of the path."""
     labels = F.split(host, r"\.", -1)
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    suffixes = F.transform(F.sequence(F.greatest(n - most + 1, F.lit(1)), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     starts = F.filter(F.array(*[F.when(F.length(path) >= k, F.substring(path, 1, k)) for k in sorted(set(lengths), reverse=True)]), lambda x: x.isNotNull())
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(starts, lambda p: F.concat(h, p))))
     return F.when(F.length(host) == 0, F.array().cast("array<string>")).otherwise(pairs)
@@ -179,23 +180,30 @@ def _first_listed(block: list[Cascade], allow: list[Cascade]):
     return run
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", segments: int = 1) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", segments: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every url.
 
     ``rules`` are (verdict, host, path). Of the rules that fit, the one with the longest host
     wins, then the one with the longest path; of an allow and a block rule alike, the allow rule.
     A url that no rule fits is in no list, and the cascade's answer for it is allow. Null ids and
-    repeated rows are kept; an empty table gives an empty table.
+    repeated rows are kept; an empty table gives an empty table; other columns play no part. The
+    keys are dealt into ``segments`` with a cascade each, by default as many as keep every filter
+    within half of ``MAX_FILTER_BYTES``.
     """
     spark = pages.sparkSession
+    store.small_batches(spark)
     host, path = url_parts(F.col(url_col))
     lengths = sorted({len(p) for _, _, p in rules})
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("names", candidates(F.col("host"), F.col("path"), lengths))
+    most = max((h.count(".") + 1 for _, h, _ in rules), default=1)
+    urls = urls.withColumn("names", candidates(F.col("host"), F.col("path"), lengths, most))
     urls = urls.withColumn("keys", F.transform("names", key_of))
     universe = urls.select(F.explode("keys").alias("key")).distinct()
     named = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, name string").select("verdict", key_of(F.col("name")).alias("key"))
     universe = store.materialise(universe.unionByName(named.select("key")).distinct(), "universe")
+    if segments is None:  # the first level is the largest: a key takes 1.44 bits for each halving of its rate
+        bits = 1.45 * len(rules) * max(1.0, math.log2(2 * max(universe.count(), 1) / max(len(rules), 1)))
+        segments = max(1, math.ceil(bits / (4 * MAX_FILTER_BYTES)))
     sides: dict[str, list[Cascade]] = {"block": [], "allow": []}
     segment = F.pmod(F.shiftrightunsigned("key", 48), F.lit(segments))
     for verdict, out in sides.items():
