@@ -35,7 +35,7 @@ from .url_filter import Bloom, fill
 LENGTH = 200
 GRAM = 32
 SHARD_CONTEXTS = 2_500
-MERGE_STRINGS = 200_000
+MERGE_STRINGS = 25_000
 SEGMENT = 400_000
 CHUNK = 250_000
 _POSITION = B.U((1 << 24) - 1)
