@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_RATIO = 0.1
+MAX_RATIO = 0.02
 MIN_PAGES = 5
 SALTS = 64
 

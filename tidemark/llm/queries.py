@@ -45,7 +45,7 @@ WITH own AS (SELECT doc_id, text, coalesce('h' || source, 'n') AS host, row_numb
 totals AS (SELECT host, count(*) AS total FROM own GROUP BY host),
 lines AS (SELECT DISTINCT r, host, unnest(lines) AS line FROM own),
 common AS (SELECT l.host, l.line FROM lines l JOIN totals t ON l.host = t.host WHERE trim(l.line) <> ''
-           GROUP BY l.host, l.line, t.total HAVING count(*) >= 5 AND count(*) / t.total > 0.1),
+           GROUP BY l.host, l.line, t.total HAVING count(*) >= 5 AND count(*) / t.total > 0.02),
 boiler AS (SELECT host, list(line) AS dropped FROM common GROUP BY host),
 kept AS (SELECT o.doc_id, o.text, o.lines, b.dropped,
                 list_filter(o.lines, lambda x: NOT list_contains(coalesce(b.dropped, []), x)) AS keep
