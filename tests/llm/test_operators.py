@@ -210,6 +210,30 @@ def test_near_duplicates_without_filters(spark, edge, empty, monkeypatch):
     assert minhash.link_groups(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, empty):
+    rng = random.Random(15)
+    base = text(rng, 60)
+    near, other = base + " more", text(rng, 60)
+    rows = [(5, base, 1), (5, base, 1), (5, other, 2), (7, near, 3), (None, base, 4), (None, near, 5), (9, None, 6), (9, None, 6), (None, "", 7), (11, "few words", 8), (None, "few words", 9), (None, "only without an id", 10), (None, "only without an id", 11)]
+    df = spark.createDataFrame(rows, DOCS + ", words long").withColumns({c: F.lit(c) for c in ("digest", "best", "rep", "__row")})
+    out = minhash.keep_one(df)
+    got = sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=repr)
+    assert out.columns == df.columns
+    assert got == sorted([(5, base), (5, other), (9, None), (9, None), (0, ""), (11, "few words"), (0, "only without an id")], key=repr)
+    groups = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.link_groups(df).collect()}
+    assert groups[7, 57] == 5 and groups[None, 56] == 5 and groups[None, 57] == 5 and groups[9, 0] == 9
+    assert minhash.keep_one(empty).count() == 0
+
+
+def test_join_of_heavy_keys(spark):
+    from tidemark.llm import store
+
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 3), (3, 1), (4, 1)) for i in range(n)], "k int, i int")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n")).filter("k < 4").withColumn("v", F.col("k") * 10)
+    got = store.join_facts(rows, facts, ["k"], "n", 505)
+    assert {(r.k, r.v): r["count"] for r in got.groupBy("k", "v").count().collect()} == {(1, 10): 500, (2, 20): 3, (3, 30): 1}
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(6)
     a = rng.integers(0, 1 << 16, (200, minhash.SYMBOLS)).astype(np.uint16)
@@ -574,6 +598,22 @@ def test_quality(spark, edge, empty):
     assert 0 <= quality.score(edge, none).first().score <= 1
 
 
+def test_few_labels_are_calibrated(spark, folder):
+    """Sixty labelled rows: scores on both sides of the threshold, and held-out rows told right."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.score(docs, quality.train(docs, labels)).toPandas().merge(labels.toPandas(), on="doc_id")
+    assert set(got.predicted) == {0, 1}
+    held = got[got.held_out]
+    assert (held.predicted == held.quality).mean() > 0.85
+
+
+def test_calibration_keeps_the_order():
+    z = np.array([0.5, 1.0, 1.5, 2.0, 2.5, 3.0] * 3)
+    slope, shift = quality.calibrate(z, (z > 1.7).astype(float))
+    assert slope >= 0.1 and slope * 1.5 + shift < 0 < slope * 2 + shift
+    assert quality.calibrate(z, (z < 1.7).astype(float))[0] == 0.1
+
+
 def test_machine_equals_pairwise_sum():
     rng = np.random.default_rng(14)
     m = quality.Machine(np.zeros((quality.STATS, quality.BINS)), 0.1, rng.normal(size=quality.FEATURES), rng.normal(size=(quality.FEATURES, quality.FACTORS)))

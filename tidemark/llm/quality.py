@@ -82,6 +82,7 @@ class Machine:
     factor: np.ndarray  # (FEATURES, FACTORS)
     slope: float = 1.0  # of the logits, fitted on rows that the machine has not learnt
     shift: float = 0.0
+    learned: bool = False  # whether it has seen rows of both labels
 
     def rows(self, buckets: list[np.ndarray], stats: np.ndarray):
         """(index, value, starts) of the sparse rows."""
@@ -118,6 +119,7 @@ def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, steps:
     m = Machine(cuts, float(np.log(share / (1 - share))), np.zeros(FEATURES), rng.normal(0, 0.05, (FEATURES, FACTORS)))
     if len(np.unique(labels)) < 2:
         return m
+    m.learned = True
     gw, gv, gb = np.full(FEATURES, 1e-2), np.full(FEATURES, 1e-2), 1e-2
     order = np.concatenate([rng.permutation(len(labels)) for _ in range(-(-steps * batch // len(labels)))])
     for own in order[: steps * batch].reshape(steps, batch):
@@ -260,5 +262,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, id_co
 
 
 def keep_good(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, **more) -> DataFrame:
-    """``docs`` without the rows the machine rejects; all columns are kept."""
+    """``docs`` without the rows the machine rejects; all columns are kept. A machine that has not seen
+    both labels rejects nothing."""
+    if not machine.learned:
+        return docs
     return score(docs, machine, threshold, keep=docs.columns, **more).filter("predicted = 1").select(*[f"`{c}`" for c in docs.columns])
