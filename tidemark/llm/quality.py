@@ -24,7 +24,7 @@ BUCKETS = 1 << 15
 FACTORS = 8
 BINS = 12
 MAX_ROWS = 12_000
-MAX_WORDS = 4_000_000
+MAX_WORDS = 8_000_000
 THRESHOLD = 0.7
 
 #: Kinds of bytes whose shares are statistics.
