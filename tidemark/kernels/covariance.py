@@ -344,3 +344,140 @@ def qlike(s: np.ndarray, realised: np.ndarray) -> float:
     """Gaussian loss of a forecast against realised covariances, a name."""
     sign, logdet = np.linalg.slogdet(s)
     return float((logdet + np.trace(np.linalg.solve(s, realised))) / len(s)) if sign > 0 else float("inf")
+
+
+def shrinker(x: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """``shrink_to_corr`` of one window for many correlations: what the window alone decides is done once."""
+    y = centred(x)
+    n = len(y)
+    s = y.T @ y / n
+    var = np.diag(s).copy()
+    sd = np.sqrt(np.maximum(var, 1e-300))
+    moved = y**2 - var
+    per_cell = (moved / sd * y).T @ (y * sd) / n  # a correlation's cell adds this much to what target and sample share
+    np.fill_diagonal(per_cell, 0)
+    noise = ((y**2).sum(axis=1) ** 2).mean() - (s**2).sum() - (moved**2).sum() / n
+
+    def apply(corr: np.ndarray) -> np.ndarray:
+        target = corr * np.outer(sd, sd)
+        np.fill_diagonal(target, var)
+        gap = ((s - target) ** 2).sum() * n
+        share = float(np.clip((noise - (corr * per_cell).sum()) / gap, 0, 1)) if gap > 0 else 1.0
+        return share * target + (1 - share) * s
+
+    return apply
+
+
+def on_loadings(x: np.ndarray, loadings: np.ndarray) -> np.ndarray:
+    """The covariance of given loadings (names x k): a day's factors are its returns' projection on them,
+    and what is left is diagonal."""
+    y = centred(x)
+    fitted = y @ loadings @ np.linalg.pinv(loadings)
+    days = max(len(y) - 1, 1)
+    return fitted.T @ fitted / days + np.diag(((y - fitted) ** 2).sum(axis=0) / days)
+
+
+def smooth_vectors(links: np.ndarray, k: int) -> np.ndarray:
+    """The k vectors that change least along the links of a signed graph: eigenvectors of the smallest
+    eigenvalues of its normalised Laplacian, with degrees of absolute weights. A node without links
+    has the eigenvalue 1."""
+    a = links - np.diag(np.diag(links))
+    root = np.sqrt(np.abs(a).sum(axis=0))
+    scale = np.where(root > 0, 1 / np.maximum(root, 1e-300), 0)
+    a = a * scale * scale[:, None]
+    return np.linalg.eigh(np.eye(len(a)) - (a + a.T) / 2)[1][:, :k]
+
+
+@estimator
+def spectral(x: np.ndarray, links: np.ndarray | None = None, k: int = 3) -> np.ndarray:
+    """Factors on a constant and on the smooth vectors of a graph (that of the sample's correlations if none)."""
+    links = to_corr(sample(x)) if links is None else links
+    level = np.full((x.shape[1], 1), x.shape[1] ** -0.5)
+    return on_loadings(x, np.hstack([level, smooth_vectors(links, k)]))
+
+
+def principal_loadings(x: np.ndarray, k: int, extra: np.ndarray | None = None) -> np.ndarray:
+    """The sample's first k principal components, the largest first, and ``extra`` columns."""
+    top = np.linalg.eigh(sample(x))[1][:, ::-1][:, :k]
+    return top if extra is None else np.hstack([top, extra])
+
+
+def subspace_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the principal angles between the spans of two matrices, the largest first."""
+    span = lambda m: np.linalg.qr(m)[0]
+    return np.linalg.svd(span(a).T @ span(b), compute_uv=False)
+
+
+def group_factors(x: np.ndarray, groups: np.ndarray, smallest: int = 3) -> np.ndarray:
+    """Days x k: the market and, for each group of ``smallest`` names or more, its mean less the market's.
+    Negative groups are none."""
+    y = np.nan_to_num(x)
+    groups = np.asarray(groups)
+    market = y.mean(axis=1)
+    large = [g for g, n in zip(*np.unique(groups, return_counts=True)) if n >= smallest and g >= 0]
+    return np.column_stack([market, *(y[:, groups == g].mean(axis=1) - market for g in large)])
+
+
+@estimator
+def community(x: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
+    """Factors of the market and of groups of names, and a diagonal rest."""
+    return multi_factor(x, group_factors(x, np.zeros(x.shape[1], int) - 1 if groups is None else groups))
+
+
+def tercile_factor(x: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """A day's mean return of the names in the upper third by ``score`` less that of the lower third."""
+    y = np.nan_to_num(x)
+    low, high = np.quantile(score, [1 / 3, 2 / 3])
+    return y[:, score >= high].mean(axis=1) - y[:, score <= low].mean(axis=1)
+
+
+def style(x: np.ndarray, industry: np.ndarray, size: np.ndarray, momentum: np.ndarray) -> np.ndarray:
+    """Observed factors: market, industries, small less large names, winners less losers. Unknown sizes
+    take the median."""
+    size = np.where(np.isnan(size), np.nanmedian(size), size)
+    factors = [group_factors(x, industry), -tercile_factor(x, size), tercile_factor(x, momentum)]
+    return multi_factor(x, np.column_stack(factors))
+
+
+def rank_average(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1; ties share their mean."""
+    _, back, n = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[back]
+
+
+def losses(s: np.ndarray, after: np.ndarray, linked: np.ndarray, corr: np.ndarray) -> dict[str, float]:
+    """What a forecast missed in a period: ``after`` are its returns (days x names), ``corr`` its
+    correlations (NaN where unknown), ``linked`` the pairs with news.
+
+    qlike, squared errors of covariances and correlations, those of pairs with and without news, the
+    rank correlation of forecast and realised correlations, and the forecast's condition.
+    """
+    y = np.nan_to_num(after)
+    p = len(s)
+    realised = y.T @ y / len(y)
+    told = to_corr(s)
+    upper = np.triu(np.ones((p, p), bool), 1) & np.isfinite(corr)
+    error = (told - corr) ** 2
+    mean = lambda cells: float(error[cells].mean()) if cells.any() else float("nan")
+    loss = qlike(s, realised) if np.linalg.cond(s) < 1e14 else float("inf")
+    ranks = rank_average(told[upper]), rank_average(corr[upper])
+    varies = upper.sum() > 1 and min(r.std() for r in ranks) > 0
+    value = np.linalg.eigvalsh(told)
+    return {
+        "qlike": loss if np.isfinite(loss) else float("nan"), "frob_cov": float(((s - realised) ** 2).sum() / p**2), "frob_corr": mean(upper),
+        "err_linked": mean(upper & linked), "err_unlinked": mean(upper & ~linked),
+        "spearman": float(np.corrcoef(*ranks)[0, 1]) if varies else float("nan"), "cond": float(value[-1] / value[0]) if value[0] > 0 else float("inf"),
+    }
+
+
+def nonnegative_least_squares(gram: np.ndarray, target: np.ndarray, rounds: int = 10_000, tol: float = 1e-12) -> np.ndarray:
+    """The b >= 0 of least b' gram b / 2 - target' b, a coordinate at a time."""
+    b = np.zeros(len(target))
+    for _ in range(rounds):
+        before = b.copy()
+        for k in range(len(b)):
+            if gram[k, k] > 0:
+                b[k] = max(0.0, b[k] + (target[k] - gram[k] @ b) / gram[k, k])
+        if np.abs(b - before).max(initial=0) <= tol * max(1.0, np.abs(b).max(initial=0)):
+            break
+    return b

@@ -125,3 +125,53 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 1000, tolera
         if step.agg(F.max(F.abs(F.col("after") - F.col("before")))).first()[0] < tolerance:
             break
     return rank
+
+
+def _power(rounds: int, tolerance: float):
+    """applyInPandas function over all links (i, j, w) of an undirected graph."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i", "j", "w"])
+        code, nodes = pd.factorize(pd.concat([pdf["i"], pdf["j"]]), sort=True)
+        half, n = len(pdf), len(nodes)
+        apart = code[:half] != code[half:]
+        a, b = np.concatenate([code[:half], code[half:][apart]]), np.concatenate([code[half:], code[:half][apart]])
+        w = np.concatenate([pdf["w"].to_numpy(), pdf["w"].to_numpy()[apart]])
+        v = np.full(n, n**-0.5)
+        for _ in range(rounds):
+            new = np.bincount(a, w * v[b], n)
+            size = np.linalg.norm(new)
+            if size == 0:
+                break
+            change, v = np.abs(new / size - v).max(), new / size
+            if change < tolerance:
+                break
+        return pd.DataFrame({"node": nodes, "centrality": np.abs(v)})
+
+    return run
+
+
+def eigenvector_centrality(links: DataFrame, rounds: int = 1000, tolerance: float = 1e-10) -> DataFrame:
+    """(node, centrality) over undirected links (i, j, w >= 0), each given once: the main eigenvector, of
+    length 1, by power iteration until no value changes by ``tolerance`` or for ``rounds``.
+
+    On a bipartite graph the iteration swings between two vectors, and the last one is given. With more
+    than LOCAL_EDGES links a round is a job and its values are written.
+    """
+    own = materialise(links.groupBy("i", "j").agg(F.sum("w").alias("w")), "links")
+    if own.count() <= LOCAL_EDGES:
+        return own.groupBy(F.lit(0).alias("g")).applyInPandas(_power(rounds, tolerance), f"node {own.schema['i'].dataType.simpleString()}, centrality double")
+    ways = own.toDF("a", "b", "w").union(own.filter("i <> j").select("j", "i", "w"))
+    nodes = materialise(ways.select(F.col("a").alias("node")).distinct(), "nodes")
+    v = nodes.withColumn("v", F.lit(nodes.count() ** -0.5))
+    for _ in range(rounds):
+        new = ways.join(v.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum(F.col("w") * F.col("v")).alias("u"))
+        size = F.broadcast(new.agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("size")))  # one row
+        step = materialise(new.crossJoin(size).join(v, "node").select("node", F.try_divide("u", "size").alias("v"), F.col("v").alias("before")), "centrality")
+        change = step.agg(F.max(F.abs(F.col("v") - F.col("before")))).first()[0]
+        if change is None:  # all weights are 0
+            break
+        v = step.select("node", "v")
+        if change < tolerance:
+            break
+    return v.select("node", F.abs("v").alias("centrality"))
