@@ -80,14 +80,15 @@ def seen_by(days: DataFrame, day: str, dates: DataFrame, low: str, high: str) ->
     return own.join(F.broadcast(dates), (F.col(day) >= F.col(low)) & (F.col(day) < F.col(high)))
 
 
-def pair_panel(returns: DataFrame, rebalances: DataFrame, features: DataFrame | None = None, days: int = 252, least_before: int = 126, least_after: int = 15) -> DataFrame:
+def pair_panel(returns: DataFrame, rebalances: DataFrame, features: DataFrame | None = None, days: int = 252, least_before: int = 126, least_after: int = 15, names: Sequence[str] | None = None) -> DataFrame:
     """(rebalance_date, i, j, z_before, z_after, n_after, ...features): Fisher z of the correlations of two
     tickers in the ``days`` sessions before each date and from it to the next date.
 
     ``returns`` is (ticker, cal_i, ret) and ``rebalances`` (rebalance_date, t0, t1), where t1 is the
     next date's session. Pairs with too few common sessions or a correlation of 1 are left out.
     ``features`` is (rebalance_date, i, j, feature, value); values become log1p, those named
-    ``same_`` and ``exposure`` stay, and what a pair doesn't have is 0.
+    ``same_`` and ``exposure`` stay, and what a pair doesn't have is 0. ``names`` are the features to take
+    (all that occur if none), so that an empty table has their columns too.
     """
     spans = rebalances.select("rebalance_date", (F.col("t0") - days).alias("low"), F.col("t0").alias("high"), F.lit("before").alias("side"))
     spans = spans.unionByName(rebalances.select("rebalance_date", F.col("t0").alias("low"), F.col("t1").alias("high"), F.lit("after").alias("side")))
@@ -102,7 +103,7 @@ def pair_panel(returns: DataFrame, rebalances: DataFrame, features: DataFrame |
     if features is None:
         return out
     raw = F.col("feature").startswith("same_") | (F.col("feature") == "exposure")
-    wide = features.withColumn("value", F.when(raw, F.col("value")).otherwise(F.log1p("value"))).groupBy("rebalance_date", "i", "j").pivot("feature").agg(F.first("value"))
+    wide = features.withColumn("value", F.when(raw, F.col("value")).otherwise(F.log1p("value"))).groupBy("rebalance_date", "i", "j").pivot("feature", list(names) if names else None).agg(F.first("value"))
     return out.join(wide, ["rebalance_date", "i", "j"], "left").na.fill(0.0, [c for c in wide.columns if c not in ("rebalance_date", "i", "j")])
 
 

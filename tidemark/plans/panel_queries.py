@@ -91,7 +91,7 @@ def _panel(spark, d):
     held = ev.join(days.select("dt", "rebalance_date"), "dt").select(F.struct("rebalance_date", "doc_id").alias("doc"), "node").distinct()
     pairs = held.join(held.select("doc", F.col("node").alias("j")), "doc").filter("node < j")
     co = pairs.groupBy("doc.rebalance_date", F.col("node").alias("i"), "j").agg(F.count("*").cast("double").alias("value")).withColumn("feature", F.lit("cooccur"))
-    return P.pair_panel(r, at, co, days=500, least_before=20, least_after=10)
+    return P.pair_panel(r, at, co, days=500, least_before=20, least_after=10, names=["cooccur"])
 
 
 @catalog.add(sql("px ge", "SELECT rebalance_date, i, j, round(z_before, 5) AS z_before, round(z_after, 5) AS z_after, n_after, round(cooccur, 6) AS cooccur FROM panel", cal=_CAL, ret=_RET, **_SIDES))
