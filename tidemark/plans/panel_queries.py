@@ -85,6 +85,7 @@ _SIDES = dict(
 def _panel(spark, d):
     """Pairs of brands at each year's first session, with the orders that hold both in the year before."""
     cal, r = _indexed(spark, d)
+    r = materialise(r.select("ticker", "cal_i", "ret"), "returns")  # read four times below
     at = materialise(WF.periods(cal, "year"), "dates")  # a row a year
     ev = graph_events(spark, d).select("dt", "doc_id", F.substring("dst", 2, 100).alias("node"))
     days = P.seen_by(ev, "dt", at.select("rebalance_date", F.date_sub("rebalance_date", 365).alias("low"), F.col("rebalance_date").alias("high")), "low", "high")
@@ -214,7 +215,7 @@ def sentiment_factors(spark, d):
 def sentiment_regressions(spark, d):
     """Of each session's last 252 returns of each brand, on the six agents of most events in that window."""
     cal, f = _factors(spark, d)
-    _, r = _indexed(spark, d)
+    r = materialise(_indexed(spark, d)[1].select("ticker", "cal_i", "ret"), "returns")
     f = f.join(F.broadcast(cal.select(F.col("date").alias("session"), "cal_i")), "session").select("cal_i", "agent", "f", "n")  # a row a session
     return P.rolling_regressions(r, f, coverage=0.5)
 
