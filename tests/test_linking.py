@@ -87,3 +87,18 @@ def test_masks_and_bytes(spark):
     text = F.lit("The Apple Inc and apple met on 2020-01-02; pineapple did not.")
     assert spark.range(1).select(N.masked(text, {"apple": "[A]", "The Apple Inc": "[B]"})).first()[0] == "[B] and [A] met on [DATE]; pineapple did not."
     assert [r[0] for r in spark.createDataFrame([(0,), (1536,), (5 << 30,)], "n long").select(N.readable_bytes(F.col("n"))).collect()] == ["0.0 B", "1.5 KiB", "5.0 GiB"]
+
+
+def test_readable_bytes_past_a_gibibyte(spark, tmp_path):
+    """The query's SQL knows no unit above MiB."""
+    import duckdb
+
+    from tidemark import plans
+
+    keys = [(1, 1), (32, 32), (1 << 14, 1 << 16), (1_200_000, 60_000), ((1 << 20) - 1, 1 << 10)]
+    spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(keys)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: r["size"] for r in plans.QUERIES["readable_bytes"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == {k: size for k, _, size in con.execute(plans.SQL["readable_bytes"]).fetchall()}
+    assert got[2] == "1024.0 MiB"

@@ -90,10 +90,13 @@ def masked(text: Column, names: dict[str, str], date_mask: str = "[DATE]") -> Co
     return F.regexp_replace(out, r"\b\d{4}-\d{2}-\d{2}\b", date_mask)
 
 
-def readable_bytes(n: Column) -> Column:
-    """1536 as 1.5 KiB."""
+UNITS = ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
+
+
+def readable_bytes(n: Column, largest: str = UNITS[-1]) -> Column:
+    """1536 as 1.5 KiB; sizes past the ``largest`` unit stay in it."""
     out = F.lit(None).cast("string")
-    for power, unit in enumerate(("B", "KiB", "MiB", "GiB", "TiB", "PiB")):
+    for power, unit in enumerate(UNITS[: UNITS.index(largest) + 1]):
         value = F.format_string("%.1f " + unit, F.round(n.cast("double") / 1024.0**power, 1))
         out = F.when(n >= 1024**power, value).otherwise(out)
     return F.when(n < 1, F.format_string("%.1f B", n.cast("double"))).otherwise(out)
