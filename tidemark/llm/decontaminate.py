@@ -175,11 +175,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", least_item: int = 1, **more) -> DataFrame:
     """``docs`` without the rows whose id overlaps with a benchmark item; all columns are kept.
 
+    Unlike in ``find_leaks`` short items are looked for too, unless ``least_item`` says otherwise: what
+    is trained on should rather lose a text than hold an item.
     Rows of one id go together: where one of them holds an item, none can be trusted. Rows without
     an id count as of one id, so give ids first.
     """
-    bad = find_leaks(docs, benchmark, id_col=id_col, **more).select(F.col("doc_id").alias("__leak")).distinct()
+    bad = find_leaks(docs, benchmark, least_item=least_item, id_col=id_col, **more).select(F.col("doc_id").alias("__leak")).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__leak"]), "left_anti")
