@@ -118,3 +118,19 @@ def test_pagerank_converges(spark, monkeypatch, local, tolerance):
     got = {r["node"]: r["rank"] for r in MX.pagerank(spark.createDataFrame(both, "src string, dst string, w double"), **more).collect()}
     # what is left after the last step is at most 0.85 / 0.15 times as large
     assert sorted(got) == nodes and np.abs(np.array([got[x] for x in nodes]) - want).max() <= 6 * tolerance
+
+
+def test_random_signs_of_many_nodes(spark, folder, monkeypatch):
+    from tidemark.plans import QUERIES, kernel_queries
+    from tidemark.sources.tables import graph_events
+
+    monkeypatch.setattr(kernel_queries, "MAX_NODES", 10)  # as if the graph had more nodes than a dense matrix may have
+    monkeypatch.setattr(kernel_queries, "MAX_LINKS", 10)
+    got = {(r.i, r.j): r.w for r in QUERIES["placebo_p4"](spark, folder).collect()}
+    edges = G.snapshot(graph_events(spark, folder), "2000-01-01", 365, directed=False).withColumn("w_sum", F.round("w_sum", 9))
+    want = {tuple(sorted((r.src, r.dst))): abs(r.w_sum) for r in edges.collect() if r.w_sum and r.src != r.dst}
+    assert {k: abs(w) for k, w in got.items()} == want
+    assert 0.3 < sum(w < 0 for w in got.values()) / len(got) < 0.7
+    back = G.random_signs(edges.repartition(3).withColumns({"src": F.col("dst"), "dst": F.col("src")}), "w_sum", 5)
+    assert {(r.i, r.j): r.w for r in back.collect()} == got
+    assert {(r.i, r.j): r.w for r in G.random_signs(edges, "w_sum", 6).collect()} != got

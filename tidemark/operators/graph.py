@@ -87,6 +87,17 @@ def node_stats(events: DataFrame) -> DataFrame:
     return both_directions(events).groupBy("node").agg(F.count("*").alias("n_events"), F.count_distinct("other").alias("degree"))
 
 
+def random_signs(edges: DataFrame, weight: str, seed: int) -> DataFrame:
+    """(i, j, w): every link's absolute weight with a random sign, loops and links of weight 0 left out.
+
+    The sign is a bit of a hash of the seed and the link's ends, so it is the same both ways and
+    however the links are dealt.
+    """
+    i, j = F.least("src", "dst"), F.greatest("src", "dst")
+    sign = F.xxhash64(F.lit(seed), i, j).bitwiseAND(F.lit(1)) * 2 - 1
+    return edges.filter((F.col("src") != F.col("dst")) & ~F.col(weight).eqNullSafe(0.0)).select(i.alias("i"), j.alias("j"), (F.abs(weight) * sign).alias("w"))
+
+
 def to_adjacency(edges: DataFrame, weight: str = "w_sum") -> dict[str, dict[str, float]]:
     """A snapshot as {src: {dst: weight}} in the driver; for graphs that fit one machine."""
     out: dict[str, dict[str, float]] = {}
