@@ -124,7 +124,7 @@ def test_random_signs_of_many_nodes(spark, folder, monkeypatch):
     from tidemark.plans import QUERIES, kernel_queries
     from tidemark.sources.tables import graph_events
 
-    monkeypatch.setattr(kernel_queries, "MAX_NODES", 10)  # as if the graph had more nodes than a dense matrix may have
+    monkeypatch.setattr(kernel_queries, "MAX_NODES", 10, raising=False)  # the bound that a dense matrix had
     monkeypatch.setattr(kernel_queries, "MAX_LINKS", 10)
     got = {(r.i, r.j): r.w for r in QUERIES["placebo_p4"](spark, folder).collect()}
     edges = G.snapshot(graph_events(spark, folder), "2000-01-01", 365, directed=False).withColumn("w_sum", F.round("w_sum", 9))
@@ -134,3 +134,22 @@ def test_random_signs_of_many_nodes(spark, folder, monkeypatch):
     back = G.random_signs(edges.repartition(3).withColumns({"src": F.col("dst"), "dst": F.col("src")}), "w_sum", 5)
     assert {(r.i, r.j): r.w for r in back.collect()} == got
     assert {(r.i, r.j): r.w for r in G.random_signs(edges, "w_sum", 6).collect()} != got
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_diffusion_kernel_of_many_nodes(spark, folder, monkeypatch, block):
+    from tidemark.kernels import network as N
+    from tidemark.plans import QUERIES, kernel_queries
+    from tidemark.sources.tables import graph_events
+
+    monkeypatch.setattr(kernel_queries, "MAX_NODES", 10, raising=False)  # the bound that a dense matrix had
+    monkeypatch.setattr(kernel_queries, "BLOCK_NODES", block, raising=False)
+    got = {(r.i, r.j): r.k for r in QUERIES["diffusion_kernel"](spark, folder).collect()}
+    edges = G.snapshot(graph_events(spark, folder), "2000-01-01", 365, directed=False).collect()
+    nodes = sorted({r.src for r in edges} | {r.dst for r in edges})
+    w = np.zeros((len(nodes),) * 2)
+    for r in edges:
+        w[nodes.index(r.src), nodes.index(r.dst)] = w[nodes.index(r.dst), nodes.index(r.src)] = r.w_sum
+    want = N.diffusion(w / np.abs(w).sum(axis=1).max())
+    assert set(got) == {(a, b) for k, a in enumerate(nodes) for b in nodes[k + 1 :]}
+    assert all(abs(k - want[nodes.index(a), nodes.index(b)]) < 1e-12 for (a, b), k in got.items())

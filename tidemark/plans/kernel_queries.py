@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from .. import backtest as BT
@@ -100,8 +102,10 @@ def backtest_trades(spark, d):
     return BT.hold(r, w, at)[1]
 
 
-#: largest graphs that one task takes, by nodes of a dense matrix and by links of a list
-MAX_NODES, MAX_LINKS = 20_000, 20_000_000
+#: links that one task takes
+MAX_LINKS = 20_000_000
+#: nodes whose part of a kernel over all pairs is worked out at once
+BLOCK_NODES = 64
 
 
 def _matrix(spark, d):
@@ -118,15 +122,6 @@ def _numbered(pdf):
     return nodes, pdf["src"].map(at).to_numpy(), pdf["dst"].map(at).to_numpy()
 
 
-def _dense(pdf, value):
-    nodes, i, j = _numbered(pdf)
-    if len(nodes) > MAX_NODES:
-        raise ValueError(f"more than {MAX_NODES} nodes for a dense matrix; filter the snapshot")
-    w = np.zeros((len(nodes), len(nodes)))
-    w[i, j] = w[j, i] = pdf[value].to_numpy()
-    return nodes, w
-
-
 @catalog.add()
 def louvain(spark, d):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,13 +152,40 @@ def placebo_p4(spark, d):
 
 @catalog.add()
 def diffusion_kernel(spark, d):
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, w = _dense(pdf, "w_sum")
-        k = N.diffusion(w / max(np.abs(w).sum(axis=1).max(), 1e-12))
-        i, j = np.triu_indices(len(nodes), 1)
-        return pd.DataFrame({"i": [nodes[a] for a in i], "j": [nodes[b] for b in j], "k": k[i, j]})
-
-    return _matrix(spark, d).groupBy("g").applyInPandas(one, "i string, j string, k double")
+    """Every pair of nodes i < j; the kernel is worked out by blocks of nodes, dealt over tasks."""
+    links = _matrix(spark, d).filter("src <> dst").select("src", "dst", "w_sum").toArrow()  # at most ``MAX_LINKS`` rows, checked above
+    nodes = sorted({*links["src"].unique().to_pylist(), *links["dst"].unique().to_pylist()})
+    i, j = (pc.index_in(links[c], pa.array(nodes, pa.string())).to_numpy() for c in ("src", "dst"))
+    kernel, n = N.Diffusion(i, j, links["w_sum"].to_numpy(), len(nodes)), len(nodes)
+    blocks = -(-n // BLOCK_NODES)
+    tasks = max(1, min(blocks, 1_000))
+    held = spark.sparkContext.broadcast((kernel, nodes))
+
+    def diagonal(batches):
+        kernel, _ = held.value
+        for b in batches:
+            lo = np.concatenate([np.arange(k * BLOCK_NODES, min((k + 1) * BLOCK_NODES, kernel.nodes)) for k in b.column(0).to_pylist()] or [np.zeros(0, int)])
+            own = [kernel.diagonal(k * BLOCK_NODES, min((k + 1) * BLOCK_NODES, kernel.nodes)) for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(np.concatenate(own or [np.zeros(0)]))], ["node", "own"])
+
+    got = spark.range(blocks, numPartitions=tasks).mapInArrow(diagonal, "node long, own double").toArrow()  # a number a node
+    root = np.empty(n)
+    root[got["node"].to_numpy()] = np.sqrt(got["own"].to_numpy())
+    roots = spark.sparkContext.broadcast(root)
+
+    def pairs(batches):
+        (kernel, nodes), root = held.value, roots.value
+        names = pa.array(nodes, pa.string())
+        for b in batches:
+            for turn in b.column(0).to_pylist():
+                k = turn // 2 if turn % 2 == 0 else blocks - 1 - turn // 2  # long rows and short ones by turns
+                lo, hi = k * BLOCK_NODES, min((k + 1) * BLOCK_NODES, n)
+                own = kernel.rows(lo, hi, lo)
+                for a in range(lo, min(hi, n - 1)):
+                    value = own[a - lo, a - lo + 1 :] / (root[a] * root[a + 1 :])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(names[a], n - a - 1), names[a + 1 :], pa.array(value)], ["i", "j", "k"])
+
+    return spark.range(blocks, numPartitions=tasks).mapInArrow(pairs, "i string, j string, k double")
 
 
 @catalog.add()
