@@ -209,3 +209,20 @@ def test_groups_agents_and_prior(spark):
     fits = spark.createDataFrame([(1, [0.5]), (2, None)], "t int, coefs array<double>")
     got = {(r.t, r.j): r.r for r in P.news_prior(panel, fits, "t", "z", ["f"]).collect()}
     assert got[1, "b"] == pytest.approx(np.tanh(0.3 - 0.5)) and got[1, "c"] == pytest.approx(np.tanh(0.8)) and got[2, "b"] == pytest.approx(np.tanh(0.1))
+
+
+@pytest.mark.parametrize("agents, block", [(3, 7), (100, 5)])
+def test_agents_are_chosen_before_they_are_copied(spark, agents, block):
+    """The most told of each window, whatever group of agents they are counted in."""
+    rng = np.random.default_rng(4)
+    days, size, window, top = 40, 30, 12, 4
+    n = np.where(rng.random((days, size)) < 0.15, rng.integers(1, 4, (days, size)), 0)
+    names = [f"a{k:02d}" for k in rng.permutation(size)]
+    told = spark.createDataFrame([(i + 3, names[k], int(n[i, k])) for i in range(days) for k in range(size) if n[i, k]], "cal_i int, agent string, n long")
+    got = {}
+    for r in P.rolling_choice(told, window, days + 2, top, block, agents).collect():
+        got.setdefault(r.cal_i, {})[r.agent] = r.total
+    for t in range(3 + window, days + 3):
+        sums = n[t - 3 - window : t - 3].sum(axis=0)
+        want = sorted(range(size), key=lambda k: (-sums[k], names[k]))[:top]
+        assert got[t] == {names[k]: sums[k] for k in want}

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources.scratch import materialise
 from . import inference, market, matrices, relational
@@ -145,8 +145,6 @@ def fama_macbeth_many(panel: DataFrame, date: str, y: str, xs: Sequence[str], la
 
 def rank_correlation(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """(key, n, spearman): correlation of the average ranks within a key, over rows that have both."""
-    from pyspark.sql import Window as W
-
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     place = lambda c: F.rank().over(W.partitionBy(key).orderBy(c)) + (F.count("*").over(W.partitionBy(key, c)) - 1) / 2.0
     ranked = rows.withColumn("_x", place(x)).withColumn("_y", place(y))
@@ -225,19 +223,73 @@ def masked_regressions(y: np.ndarray, x: np.ndarray):
 _FITS = "cal_i long, ticker string, n_obs long, alpha double, r2 double, slot int, agent string, beta double, se double, t double"
 
 
+#: agents that one task counts in the windows of the whole calendar at once
+AGENTS = 256
+
+
+def rolling_choice(factors: DataFrame, window: int, last: int, top: int, block: int, agents: int = AGENTS) -> DataFrame:
+    """(cal_i, agent, total): for each session the ``top`` agents of most ``n`` in the ``window`` sessions before it,
+    ties by name, among those with a row that some window of the session's block sees.
+
+    ``factors`` is (cal_i, agent, n). Agents are dealt over groups of about ``agents``, each of which gives
+    its own ``top`` a session, so the ``top`` of all are among them.
+    """
+    groups = max(1, -(-factors.agg(F.count_distinct("agent")).first()[0] // agents))
+    low = factors.agg(F.min("cal_i")).first()[0] or 0
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["agent"]))
+        size, begin = len(names), int(low)
+        at = pdf["agent"].map({a: k for k, a in enumerate(names)}).to_numpy()
+        day = pdf["cal_i"].to_numpy() - begin
+        held = np.zeros((max(last + block - begin, 0) + 2, size), np.int64)  # counts of the days before a day, then held sums
+        known = np.zeros(held.shape, np.int32)
+        ok = day < len(held) - 1
+        np.add.at(held, (day[ok] + 1, at[ok]), pdf["n"].to_numpy()[ok])
+        np.add.at(known, (day[ok] + 1, at[ok]), 1)
+        held, known = held.cumsum(axis=0), known.cumsum(axis=0, dtype=np.int32)
+        until = lambda x, t: x[min(max(t - begin, 0), len(x) - 1)]  # noqa: E731  the sum over the sessions before t
+        days, chosen, totals = [], [], []
+        for t in range(begin + 1, last + 1):
+            b = t // block
+            seen = np.flatnonzero(until(known, (b + 1) * block - 1) > until(known, b * block - window))
+            n = until(held, t)[seen] - until(held, t - window)[seen]
+            if len(seen) > top:
+                least = np.partition(n, len(n) - top)[len(n) - top]
+                seen, n = seen[n >= least], n[n >= least]
+            order = np.lexsort((seen, -n))[:top]
+            days += [t] * len(order)
+            chosen += seen[order].tolist()
+            totals += n[order].tolist()
+        return pd.DataFrame({"cal_i": np.array(days, np.int64), "agent": [names[k] for k in chosen], "total": np.array(totals, np.int64)})
+
+    told = factors.select(F.col("cal_i").cast("long").alias("cal_i"), "agent", F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n"))
+    own = told.groupBy(F.pmod(F.xxhash64("agent"), F.lit(groups))).applyInPandas(one, "cal_i long, agent string, total long")
+    rank = F.row_number().over(W.partitionBy("cal_i").orderBy(F.desc("total"), "agent"))
+    return own.withColumn("_rank", rank).filter(F.col("_rank") <= top).drop("_rank")
+
+
 def rolling_regressions(returns: DataFrame, factors: DataFrame, window: int = 252, fixed: Sequence[str] = (), top: int = 6, coverage: float = 0.95, block: int = 63, buckets: int = 16) -> DataFrame:
     """Each session's regressions of each ticker's last ``window`` returns on the sentiment of the agents
     chosen at it: a row a slot, null where the agent's factor doesn't vary.
 
     ``returns`` is (ticker, cal_i, ret), ``factors`` (cal_i, agent, f, n). Sessions go to tasks in
     blocks, tickers in buckets, so a return is copied window / block + 1 times and a task holds
-    window + block sessions of its tickers and the factors of as many sessions. Tickers need
-    ``coverage`` of the window. The first window of the calendar has no regressions.
+    window + block sessions of its tickers and of the agents chosen at some session of its block, which are
+    block * ``top`` and the ``fixed`` at most. Tickers need ``coverage`` of the window. The first window of
+    the calendar has no regressions.
     """
+    factors = materialise(factors.select("agent", F.col("cal_i").cast("long").alias("cal_i"), "f", "n"), "factors")  # read four times below
+    last = returns.agg(F.max("cal_i")).first()[0]
+    choice = rolling_choice(factors.filter(~F.col("agent").isin(*fixed)) if fixed else factors, window, -1 if last is None else int(last), top, block)
     blocks = F.explode(F.sequence(F.floor((F.col("cal_i") + 1) / block), F.floor((F.col("cal_i") + window) / block))).alias("block")
     bucket = F.pmod(F.xxhash64("ticker"), F.lit(buckets)).alias("bucket")
     left = returns.select("ticker", F.col("cal_i").cast("long").alias("cal_i"), "ret", blocks, bucket)
-    right = factors.select("agent", F.col("cal_i").cast("long").alias("cal_i"), "f", "n", blocks)
+    choice = materialise(choice.select(F.floor(F.col("cal_i") / block).alias("block"), "agent").distinct(), "choice")
+    kept = factors.join(choice.select("agent").distinct(), "agent", "left_semi").select("agent", "cal_i", "f", "n", blocks).join(choice, ["block", "agent"], "left_semi")
+    right = kept.select("agent", "cal_i", "f", "n", "block")
+    if fixed:
+        right = right.unionByName(factors.filter(F.col("agent").isin(*fixed)).select("agent", "cal_i", "f", "n", blocks))
     right = right.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"))
     ends = F.broadcast(returns.agg(F.min("cal_i").cast("long").alias("first"), F.max("cal_i").cast("long").alias("last")))  # one row
     left = left.crossJoin(ends)
@@ -283,8 +335,6 @@ def expanding_fits(panel: DataFrame, date: str, y: str, xs: Sequence[str], train
 
     One aggregation gives each date's moments; what a date learns is a running sum over a row a date.
     """
-    from pyspark.sql import Window as W
-
     from ..kernels.covariance import nonnegative_least_squares
 
     k = len(xs)
