@@ -620,3 +620,28 @@ def test_machine_equals_pairwise_sum():
     index, value, starts = m.rows([np.array([3, 9, 70])], rng.normal(size=(1, quality.STATS)))
     z = m.bias + m.weight[index] @ value + sum(m.factor[i] @ m.factor[j] * value[a] * value[b] for a, i in enumerate(index) for b, j in enumerate(index) if a < b)
     assert m.logits(index, value, starts)[0][0] == pytest.approx(z)
+
+
+def test_filters_travel_in_pieces(spark):
+    """A task gives a row a piece of its filter, not a row a word; bits are those of all keys at once."""
+    made = []
+
+    class Spied:
+        def mapInArrow(self, f, schema):
+            made.append(keys.mapInArrow(f, schema))
+            return made[0]
+
+    keys = spark.range(0, 60_000, numPartitions=3).select((F.col("id") * 977).alias("key"))
+    bloom = url_filter.fill(Spied(), url_filter.Bloom(60_000, 0.01, 5))
+    want = url_filter.Bloom(60_000, 0.01, 5)
+    want.add(np.arange(60_000, dtype=np.uint64) * np.uint64(977))
+    assert (bloom.words == want.words).all() and len(want.words) > 2 * url_filter.PIECE_WORDS
+    assert made[0].count() <= 3 * -(-len(want.words) // url_filter.PIECE_WORDS)
+    assert not url_filter.fill(spark.range(0).select(F.col("id").alias("key")), url_filter.Bloom(9, 0.01, 5)).words.any()
+
+
+def test_common_anchors_have_shards_of_their_own(spark):
+    rows = [(a, a % 3, 2_000 if a < 40 else 5) for a in range(400)]
+    got = spark.createDataFrame(rows, "anchor long, piece int, of long").withColumn("shard", suffix._shard_of(4)).collect()
+    common, rest = [r.shard for r in got if r.of > 5], {r.shard for r in got if r.of == 5}
+    assert len(set(common)) == 40 and rest == set(range(4)) and not rest & set(common)

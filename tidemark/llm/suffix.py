@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import buffers as B, store, url_filter
 from .url_filter import Bloom, fill
@@ -216,7 +216,7 @@ def _find_runs(length: int):
 # --- shards -------------------------------------------------------------------------------------
 
 
-_RUN = ["doc", "row", "start", "stop", "anchor", "context", "n", "pieces"]
+_RUN = ["doc", "row", "start", "stop", "anchor", "context", "n", "of", "pieces"]
 
 
 def _contexts(length: int):
@@ -239,6 +239,13 @@ def _contexts(length: int):
     return run
 
 
+def _shard_of(shards: int) -> Column:
+    """The shard of a context of (anchor, piece, of). A piece of a common anchor is a shard of its own, so
+    that no two of them meet; the others are dealt over ``shards``."""
+    own = F.xxhash64("anchor", "piece")
+    return F.when(F.col("of") > SHARD_CONTEXTS // 8, own.bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))).otherwise(F.pmod(own, F.lit(shards)))
+
+
 _FOUND = "doc long, row long, lo int, hi int, piece int, d1 long, d2 long"
 
 
@@ -422,12 +429,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     per_anchor = store.materialise(kinds.groupBy("anchor").agg(F.count("*").alias("of")), "per-anchor")
     dealt = store.join_facts(kinds, per_anchor, ["anchor"], "of", n_kinds).withColumn("pieces", F.ceil(F.col("of") / SHARD_CONTEXTS).cast("int"))
     wanted = store.materialise(dealt.groupBy(key).agg(F.collect_list(F.struct(*_RUN)).alias("wanted")), "wanted")
-    shards = max(1, -(-n_kinds // SHARD_CONTEXTS))
+    shards = max(1, -(-2 * n_kinds // SHARD_CONTEXTS))
     some = source.select(*key, "text").mapInArrow(_inside(_filter_of(wanted)), "doc long, row long, text string")
     contexts = some.dropDuplicates(key).join(wanted, key).select("text", "wanted")
-    contexts = contexts.mapInArrow(_contexts(length), "doc long, row long, start int, stop int, anchor long, context long, n long, pieces int, bytes binary")
+    contexts = contexts.mapInArrow(_contexts(length), "doc long, row long, start int, stop int, anchor long, context long, n long, of long, pieces int, bytes binary")
     contexts = contexts.withColumn("piece", F.pmod(F.col("context"), F.col("pieces")).cast("int"))
-    contexts = contexts.withColumn("shard", F.pmod(F.xxhash64("anchor", "piece"), F.lit(shards)).cast("int"))
+    contexts = contexts.withColumn("shard", _shard_of(shards))
     found = store.materialise(contexts.groupBy("shard").applyInArrow(_shard(length), _FOUND), "found")
     store.discard(wanted, per_anchor)
     strings = found.filter("piece is not null")
