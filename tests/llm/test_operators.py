@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,6 +296,57 @@ def test_suffix_arrays():
             assert [bool(x) for x in repeated[s : s + len(c)]] == [len(c) - i >= n and seen[c[i : i + n]] > 1 for i in range(len(c))]
 
 
+def common_line_rows(n, seed=14):
+    """Texts around one line that is shorter than 200 bytes, every third in pairs that repeat half of what is around it."""
+    rng = random.Random(seed)
+    some = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    line, around = "Z" + some(60) + "Z", [(some(230), some(230)) for _ in range(n)]
+    left = lambda i: around[i - 3 if i % 6 == 3 else i][0]
+    return [(i, left(i) + line + around[i][1]) for i in range(n)]
+
+
+def test_common_anchor_counts_contexts_not_strings(spark, monkeypatch):
+    """What a very common anchor's contexts make is a few rows a context, not a row for each string of each."""
+    monkeypatch.setattr(suffix, "SHARD_CONTEXTS", 7)
+    made, write = collections.Counter(), suffix.store.materialise
+
+    def told(df, name):
+        out = write(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(suffix.store, "materialise", told)
+    rows = common_line_rows(60)
+    got = sorted(map(tuple, suffix.remove_repeats(spark.createDataFrame(rows, DOCS)).drop("kept").collect()), key=repr)
+    assert got == brute_removed(rows, 200) and sum(r[2] > 0 for r in got) >= 15
+    assert made["kinds"] >= 30 and 0 < made["found"] + made["again"] <= 3 * made["kinds"] and made["cut"] <= 6 * made["kinds"], made
+
+
+@pytest.mark.parametrize("width", suffix._widths(200))
+def test_cells_keep_every_start(width):
+    rng = random.Random(15)
+    text = bytes(rng.choice(b"ab") for _ in range(900)) + b"c" * 300
+    found = suffix.runs(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 200)
+    cols = [pa.array(c.astype(np.int32)) for c in found[1:3]] + [pa.array(c.view(np.int64)) for c in found[3:]]
+    n = len(cols[0])
+    raw = [text[a : b + 199] for a, b in zip(cols[0].to_pylist(), cols[1].to_pylist())]
+    one = pa.array(np.ones(n, np.int64))
+    names = ["doc", "row", "start", "stop", "anchor", "context", "n", "bytes"]
+    contexts = pa.RecordBatch.from_arrays([one, one, *cols, one, pa.array(raw, pa.binary())], names)
+    (placed,) = suffix._placed(200)([contexts])
+    (cut,) = suffix._cut(200, width)([placed])
+    parts = cut.to_pylist()
+    assert sorted(s for p in parts for s in range(p["start"], p["stop"])) == list(range(len(text) - 199))
+    assert all(p["bytes"] == text[p["start"] : p["stop"] + 199] and 0 <= p["at"] - p["stop"] + 1 <= p["at"] - p["start"] <= 168 for p in parts)
+    assert all((p["at"] - p["start"]) // width == (p["at"] - p["stop"] + 1) // width for p in parts)
+    pieces = collections.defaultdict(set)  # equal strings have equal pieces
+    for p in parts:
+        for s in range(p["start"], p["stop"]):
+            pieces[text[s : s + 200]].add((p["anchor"], p["piece"]))
+    assert all(len(x) == 1 for x in pieces.values())
+    assert width > 1 or len({x for y in pieces.values() for x in y}) == len(pieces)
+
+
 def test_repeats_of_nothing(empty, monkeypatch):
     assert suffix.remove_repeats(empty).count() == 0
     monkeypatch.setattr(suffix, "SEGMENT", 500)

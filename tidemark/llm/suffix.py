@@ -9,14 +9,16 @@ its context. Runs are counted by anchor and by the context's hash before any tex
 - an anchor with one run holds nothing repeated;
 - runs whose contexts are all equal are repeated whole;
 - where contexts differ, one of each goes to a shard of bounded size. There a suffix array by
-  Larsson-Sadakane refinement and Kasai's common prefixes tell which strings repeat. The contexts
-  of a very common anchor are dealt over several shards, whose sorted strings are merged by
-  binary search.
+  Larsson-Sadakane refinement and Kasai's common prefixes tell which strings repeat;
+- an anchor of more contexts than a shard holds is first taken apart. Equal strings have their
+  anchor at the same offset, so a run is cut into cells of neighbouring offsets. All strings of a
+  cell have a core of bytes in common, and equal strings have equal cores: the parts of one cell
+  and core are counted like the runs of an anchor, and what is still too many is cut into smaller
+  cells. In a cell of one offset the core is the string, so this ends.
 
 Contexts count as equal if the 64-bit hashes of their anchors and those of their bytes and length
-agree, 128 bits in all; strings of different shards by 128 bits. A row is told by its id and a
-64-bit hash of its text, so only rows of one id could be taken for each other, and they only by
-chance of 2**-64 a pair.
+agree, 128 bits in all. A row is told by its id and a 64-bit hash of its text, so only rows of one
+id could be taken for each other, and they only by chance of 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ from .url_filter import Bloom, fill
 LENGTH = 200
 GRAM = 32
 SHARD_CONTEXTS = 2_500
-MERGE_STRINGS = 25_000
+MERGE_STRINGS = 25_000  # no longer read: shards have no strings to merge; test_repeats sets it
+CELL = 4  # cells of a cell
 SEGMENT = 400_000
 CHUNK = 250_000
 _POSITION = B.U((1 << 24) - 1)
@@ -216,7 +219,8 @@ def _find_runs(length: int):
 # --- shards -------------------------------------------------------------------------------------
 
 
-_RUN = ["doc", "row", "start", "stop", "anchor", "context", "n", "of", "pieces"]
+_RUN = ["doc", "row", "start", "stop", "anchor", "context", "n", "of"]
+_PART = "doc long, row long, start int, stop int, anchor long, piece long, context long, n long, at int, bytes binary"
 
 
 def _contexts(length: int):
@@ -239,6 +243,86 @@ def _contexts(length: int):
     return run
 
 
+def _widths(length: int) -> list[int]:
+    """Offsets of a cell, round by round; the last round has cells of one."""
+    out = [1]
+    while out[0] * CELL < length - GRAM + 1:
+        out.insert(0, out[0] * CELL)
+    return out
+
+
+def _placed(length: int):
+    """mapInArrow function: contexts with the places of their anchors, as parts that no cell has cut yet."""
+    names = [c.split()[0] for c in _PART.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column("bytes").to_pylist()
+            if not raw:
+                continue
+            prefix = B.prefix_hash(B.BYTE_VALUES[np.frombuffer(b"".join(raw), np.uint8)])
+            base = np.cumsum([0, *map(len, raw[:-1])])
+            at = base[:, None] + np.arange(length - GRAM + 1)  # of the first string's grams; its anchor is the first of its hash
+            anchor = b.column("anchor").to_numpy().view(np.uint64)
+            place = (B.range_hash(prefix, at, at + GRAM) == anchor[:, None]).argmax(axis=1) + b.column("start").to_numpy()
+            more = {"piece": pa.array(np.zeros(len(raw), np.int64)), "at": pa.array(place.astype(np.int32))}
+            yield pa.RecordBatch.from_arrays([more[c] if c in more else b.column(c) for c in names], names)
+
+    return run
+
+
+def _cut(length: int, width: int):
+    """mapInArrow function: parts cut into cells of ``width`` offsets; a part's piece is the hash of its cell and core."""
+    import xxhash
+
+    names = [c.split()[0] for c in _PART.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = {c: [] for c in ("owner", "start", "stop", "piece", "context", "bytes")}
+            own = (b.column(c).to_pylist() for c in ("start", "stop", "at", "bytes"))
+            for k, (start, stop, at, raw) in enumerate(zip(*own)):
+                for cell in range((at - stop + 1) // width, (at - start) // width + 1):
+                    near, far = cell * width, min(cell * width + width - 1, length - GRAM)
+                    first, last = max(start, at - far), min(stop, at - near + 1)
+                    part = raw[first - start : last - start + length - 1]
+                    core = raw[at - near - start : at - far - start + length]
+                    out["owner"].append(k)
+                    out["start"].append(first)
+                    out["stop"].append(last)
+                    out["piece"].append(xxhash.xxh3_64_intdigest(core, cell + 1))
+                    out["context"].append(xxhash.xxh3_64_intdigest(part))
+                    out["bytes"].append(part)
+            owner = pa.array(out.pop("owner"), pa.int64())
+            cols = {c: pa.array(np.array(out[c], np.uint64).view(np.int64)) for c in ("piece", "context")}
+            cols |= {c: pa.array(out[c], pa.int32()) for c in ("start", "stop")} | {"bytes": pa.array(out["bytes"], pa.binary())}
+            yield pa.RecordBatch.from_arrays([cols[c] if c in cols else b.column(c).take(owner) for c in names], names)
+
+    return run
+
+
+def _taken_apart(parts: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(parts of pieces that fit a shard, with their number ``of`` in the piece; spans found on the way), as
+    materialised tables, from contexts of very common anchors. Each round counts at most ``CELL`` + 1 parts of a part."""
+    fit, spans = [], []
+    group = ["anchor", "piece"]
+    for width in _widths(length):
+        cut = store.materialise(parts.mapInArrow(_cut(length, width), _PART), "cut")
+        same = cut.groupBy(*group, "context").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("doc", "row", "start", "stop", "at", "bytes")).alias("r"))
+        same = store.materialise(same.select(*group, "context", "n", "rows", "r.*"), "same")
+        again = same.filter("rows > 1").select(*group, "context", "rows")
+        again = store.join_facts(cut.filter("n = 1"), again, [*group, "context"], "rows", cut.count())
+        spans.append(store.materialise(again.select("doc", "row", F.col("start").alias("lo"), (F.col("stop") - 1 + length).alias("hi")), "again"))
+        pieces = store.materialise(same.groupBy(group).agg(F.count("*").alias("of")).filter("of > 1"), "pieces")
+        dealt = store.materialise(store.join_facts(same.drop("rows"), pieces, group, "of", same.count()), "dealt")
+        store.discard(cut, same, pieces)
+        fit.append(dealt)
+        parts = dealt.filter(F.col("of") > SHARD_CONTEXTS)
+        if width == 1 or parts.isEmpty():
+            break
+    return fit, spans
+
+
 def _shard_of(shards: int) -> Column:
     """The shard of a context of (anchor, piece, of). A piece of a common anchor is a shard of its own, so
     that no two of them meet; the others are dealt over ``shards``."""
@@ -246,71 +330,35 @@ def _shard_of(shards: int) -> Column:
     return F.when(F.col("of") > SHARD_CONTEXTS // 8, own.bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))).otherwise(F.pmod(own, F.lit(shards)))
 
 
-_FOUND = "doc long, row long, lo int, hi int, piece int, d1 long, d2 long"
+_FOUND = "doc long, row long, lo int, hi int"
 
 
 def _shard(length: int):
-    """applyInArrow function over a shard: repeated stretches of contexts, and for contexts of
-    dealt anchors the digests of strings that must be held against other shards."""
-    import xxhash
+    """applyInArrow function over a shard: the stretches of its contexts whose strings repeat."""
 
     def run(t: pa.Table) -> pa.Table:
         B.lean()
         t = t.combine_chunks()
-        doc, row, first, stop, n, pieces, piece = (t.column(c).to_numpy() for c in ("doc", "row", "start", "stop", "n", "pieces", "piece"))
-        contexts = t.column("bytes").to_pylist()
-        starts, repeated, leader = repeats(contexts, length)
+        first, stop, n = (t.column(c).to_numpy() for c in ("start", "stop", "n"))
+        starts, repeated, _ = repeats(t.column("bytes").to_pylist(), length)
         # every start of a string: its context k, its place in the run and in the shard's text
         width = (stop - first).astype(np.int64)
         k = np.repeat(np.arange(len(width)), width)
         within = np.arange(len(k)) - np.repeat(np.cumsum(width) - width, width)
-        at = starts[k] + within
-        once = n[k] == 1  # contexts that occur more often are repeated whole already
-        gone = repeated[at] & once
+        gone = repeated[starts[k] + within] & (n[k] == 1)  # contexts that occur more often are repeated whole already
         edge = np.ones(len(k), bool)
         edge[1:] = k[1:] != k[:-1]
         head, tail = gone.copy(), gone.copy()
         head[1:] &= edge[1:] | ~gone[:-1]
         tail[:-1] &= edge[1:] | ~gone[1:]
         head, tail = np.flatnonzero(head), np.flatnonzero(tail)
-        told = np.flatnonzero(leader[at] & (pieces[k] > 1))
-        digests = np.empty((len(told), 2), np.int64)
-        for i in range(0, len(told), 20_000):
-            own = told[i : i + 20_000]
-            raw = b"".join(xxhash.xxh3_128_digest(contexts[c][a : a + length]) for c, a in zip(k[own].tolist(), within[own].tolist()))
-            digests[i : i + 20_000] = np.frombuffer(raw, np.int64).reshape(-1, 2)
-        open_ = once[told] & ~repeated[at[told]]
-        lo = np.concatenate([first[k[head]] + within[head], np.where(open_, first[k[told]] + within[told], -1)])
-        hi = np.concatenate([first[k[tail]] + within[tail] + length, first[k[told]] + within[told] + length])
-        owner = np.concatenate([k[head], k[told]])
-        empty = np.arange(len(owner)) < len(head)
-        d1, d2 = (np.concatenate([np.zeros(len(head), np.int64), d]) for d in digests.T)
-        cols = [pa.array(doc[owner]), pa.array(row[owner]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
-        cols += [pa.array(piece[owner], pa.int32(), mask=empty), pa.array(d1), pa.array(d2)]
-        return pa.table(cols, ["doc", "row", "lo", "hi", "piece", "d1", "d2"])
+        lo, hi = first[k[head]] + within[head], first[k[tail]] + within[tail] + length
+        cols = [t.column("doc").take(k[head]), t.column("row").take(k[head]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+        return pa.table(cols, ["doc", "row", "lo", "hi"])
 
     return run
 
 
-def _merge(t: pa.Table) -> pa.Table:
-    """applyInArrow function over strings of several shards: those found in another shard too.
-
-    Each shard's sorted digests are searched for in the sorted digests of all.
-    """
-    B.lean()
-    t = t.combine_chunks()
-    d1, d2, lo = (t.column(c).to_numpy() for c in ("d1", "d2", "lo"))
-    order = np.lexsort((d2, d1))
-    step = np.ones(len(order), np.int64)
-    step[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(step)
-    both = np.sort(number)
-    seen = np.searchsorted(both, number, side="right") - np.searchsorted(both, number, side="left")
-    keep = pa.array((seen > 1) & (lo >= 0))
-    return t.select(["doc", "row", "lo", "hi"]).filter(keep)
-
-
 # --- texts --------------------------------------------------------------------------------------
 
 
@@ -427,27 +475,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     kinds = store.materialise(kinds.select("anchor", "context", "n", "r.*"), "kinds")
     n_kinds = kinds.count()
     per_anchor = store.materialise(kinds.groupBy("anchor").agg(F.count("*").alias("of")), "per-anchor")
-    dealt = store.join_facts(kinds, per_anchor, ["anchor"], "of", n_kinds).withColumn("pieces", F.ceil(F.col("of") / SHARD_CONTEXTS).cast("int"))
-    wanted = store.materialise(dealt.groupBy(key).agg(F.collect_list(F.struct(*_RUN)).alias("wanted")), "wanted")
-    shards = max(1, -(-2 * n_kinds // SHARD_CONTEXTS))
-    some = source.select(*key, "text").mapInArrow(_inside(_filter_of(wanted)), "doc long, row long, text string")
-    contexts = some.dropDuplicates(key).join(wanted, key).select("text", "wanted")
-    contexts = contexts.mapInArrow(_contexts(length), "doc long, row long, start int, stop int, anchor long, context long, n long, of long, pieces int, bytes binary")
-    contexts = contexts.withColumn("piece", F.pmod(F.col("context"), F.col("pieces")).cast("int"))
-    contexts = contexts.withColumn("shard", _shard_of(shards))
-    found = store.materialise(contexts.groupBy("shard").applyInArrow(_shard(length), _FOUND), "found")
-    store.discard(wanted, per_anchor)
-    strings = found.filter("piece is not null")
-    buckets = max(1, -(-strings.count() // MERGE_STRINGS))
-    crossed = strings.groupBy(F.pmod(F.xxhash64("d1", "d2"), F.lit(buckets))).applyInArrow(_merge, "doc long, row long, lo int, hi int")
+    dealt = store.join_facts(kinds, per_anchor, ["anchor"], "of", n_kinds)
+    texts = source.select(*key, "text")
+
+    def contexts(rows: DataFrame) -> DataFrame:
+        wanted = store.materialise(rows.groupBy(key).agg(F.collect_list(F.struct(*_RUN)).alias("wanted")), "wanted")
+        held.append(wanted)
+        some = texts.mapInArrow(_inside(_filter_of(wanted)), "doc long, row long, text string")
+        some = some.dropDuplicates(key).join(wanted, key).select("text", "wanted")
+        return some.mapInArrow(_contexts(length), "doc long, row long, start int, stop int, anchor long, context long, n long, of long, bytes binary")
+
+    held, apart, crossed = [per_anchor], [], []
+    if not per_anchor.filter(F.col("of") > SHARD_CONTEXTS).isEmpty():
+        apart, crossed = _taken_apart(contexts(dealt.filter(F.col("of") > SHARD_CONTEXTS)).mapInArrow(_placed(length), _PART), length)
+    sharded = ["doc", "row", "start", "stop", "anchor", "piece", "n", "of", "bytes"]
+    ready = contexts(dealt.filter(F.col("of") <= SHARD_CONTEXTS)).withColumn("piece", F.lit(0).cast("long")).select(sharded)
+    for i, table in enumerate(apart):  # the last round's all fit
+        ready = ready.unionByName((table if i == len(apart) - 1 else table.filter(F.col("of") <= SHARD_CONTEXTS)).select(sharded))
+    shards = max(1, -(-2 * (n_kinds + sum(table.count() for table in apart)) // SHARD_CONTEXTS))
+    found = store.materialise(ready.withColumn("shard", _shard_of(shards)).groupBy("shard").applyInArrow(_shard(length), _FOUND), "found")
+    store.discard(*held, *apart)
 
     again = kinds.filter("n > 1").select("anchor", "context", "n")
     whole = shared.filter("same").select(*key, "start", "stop")
     whole = whole.unionByName(store.join_facts(mixed.drop("same"), again, ["anchor", "context"], "n", total).select(*key, "start", "stop"))
     spans = whole.select(*key, F.col("start").alias("lo"), (F.col("stop") - 1 + length).alias("hi")).distinct()
-    spans = spans.unionByName(found.filter("piece is null").select(*key, "lo", "hi")).unionByName(crossed)
+    for table in (found, *crossed):
+        spans = spans.unionByName(table)
     spans = store.materialise(spans.groupBy(key).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    store.discard(shared, kinds, found)
+    store.discard(shared, kinds, found, *crossed)
     bloom = _filter_of(spans)
     inside = source.mapInArrow(_inside(bloom), source.schema)
     touched = inside.join(spans, key, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans")).mapInArrow(_finish, _OUT)
