@@ -220,6 +220,7 @@ def _find_runs(length: int):
 
 
 _RUN = ["doc", "row", "start", "stop", "anchor", "context", "n", "of"]
+_CONTEXT = "doc long, row long, start int, stop int, anchor long, context long, n long, of long, bytes binary"
 _PART = "doc long, row long, start int, stop int, anchor long, piece long, context long, n long, at int, bytes binary"
 
 
@@ -252,14 +253,12 @@ def _widths(length: int) -> list[int]:
 
 
 def _placed(length: int):
-    """mapInArrow function: contexts with the places of their anchors, as parts that no cell has cut yet."""
+    """Function of the batches of ``_contexts``: with the places of their anchors, as parts that no cell has cut yet."""
     names = [c.split()[0] for c in _PART.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             raw = b.column("bytes").to_pylist()
-            if not raw:
-                continue
             prefix = B.prefix_hash(B.BYTE_VALUES[np.frombuffer(b"".join(raw), np.uint8)])
             base = np.cumsum([0, *map(len, raw[:-1])])
             at = base[:, None] + np.arange(length - GRAM + 1)  # of the first string's grams; its anchor is the first of its hash
@@ -278,6 +277,7 @@ def _cut(length: int, width: int):
     names = [c.split()[0] for c in _PART.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.lean()
         for b in batches:
             out = {c: [] for c in ("owner", "start", "stop", "piece", "context", "bytes")}
             own = (b.column(c).to_pylist() for c in ("start", "stop", "at", "bytes"))
@@ -303,11 +303,11 @@ def _cut(length: int, width: int):
 
 def _taken_apart(parts: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(parts of pieces that fit a shard, with their number ``of`` in the piece; spans found on the way), as
-    materialised tables, from contexts of very common anchors. Each round counts at most ``CELL`` + 1 parts of a part."""
+    materialised tables, from contexts of very common anchors in the first round's cells. Each round makes at most ``CELL`` parts of a part."""
     fit, spans = [], []
     group = ["anchor", "piece"]
     for width in _widths(length):
-        cut = store.materialise(parts.mapInArrow(_cut(length, width), _PART), "cut")
+        cut = store.materialise(parts.mapInArrow(_cut(length, width), _PART) if fit else parts, "cut")
         same = cut.groupBy(*group, "context").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("doc", "row", "start", "stop", "at", "bytes")).alias("r"))
         same = store.materialise(same.select(*group, "context", "n", "rows", "r.*"), "same")
         again = same.filter("rows > 1").select(*group, "context", "rows")
@@ -478,16 +478,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     dealt = store.join_facts(kinds, per_anchor, ["anchor"], "of", n_kinds)
     texts = source.select(*key, "text")
 
-    def contexts(rows: DataFrame) -> DataFrame:
+    def contexts(rows: DataFrame, then=lambda batches: batches, schema: str = _CONTEXT) -> DataFrame:
         wanted = store.materialise(rows.groupBy(key).agg(F.collect_list(F.struct(*_RUN)).alias("wanted")), "wanted")
         held.append(wanted)
         some = texts.mapInArrow(_inside(_filter_of(wanted)), "doc long, row long, text string")
         some = some.dropDuplicates(key).join(wanted, key).select("text", "wanted")
-        return some.mapInArrow(_contexts(length), "doc long, row long, start int, stop int, anchor long, context long, n long, of long, bytes binary")
+        read = _contexts(length)
+        return some.mapInArrow(lambda batches: then(read(batches)), schema)  # in one worker a task
 
     held, apart, crossed = [per_anchor], [], []
     if not per_anchor.filter(F.col("of") > SHARD_CONTEXTS).isEmpty():
-        apart, crossed = _taken_apart(contexts(dealt.filter(F.col("of") > SHARD_CONTEXTS)).mapInArrow(_placed(length), _PART), length)
+        place, cut = _placed(length), _cut(length, _widths(length)[0])
+        apart, crossed = _taken_apart(contexts(dealt.filter(F.col("of") > SHARD_CONTEXTS), lambda batches: cut(place(batches)), _PART), length)
     sharded = ["doc", "row", "start", "stop", "anchor", "piece", "n", "of", "bytes"]
     ready = contexts(dealt.filter(F.col("of") <= SHARD_CONTEXTS)).withColumn("piece", F.lit(0).cast("long")).select(sharded)
     for i, table in enumerate(apart):  # the last round's all fit
